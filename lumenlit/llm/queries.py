@@ -32,6 +32,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlit.llm.suffix_tree import suffix_tree_scores
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    scored = suffix_tree_scores(table(spark, sf_dir, "documents"), learn=~held_out)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlit.llm.warc import warc_roundtrip
 
@@ -43,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op5_byte_bpe": op5_byte_bpe,
+        "op9_suffix_tree": op9_suffix_tree,
         "op10_warc": op10_warc,
     }
 
