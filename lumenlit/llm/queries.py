@@ -24,6 +24,18 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlit.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlit.llm.mixing import mix_to_targets
+
+    return mix_to_targets(table(spark, sf_dir, "documents"), details=True)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +62,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op3_licence_scan": op3_licence_scan,
+        "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
         "op9_suffix_tree": op9_suffix_tree,
         "op10_warc": op10_warc,
@@ -57,4 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lumenlit.llm.licences import licence_sql
+    from lumenlit.llm.mixing import mixing_sql
+
+    return {"op3_licence_scan": licence_sql(), "op4_source_mixing": mixing_sql()}
