@@ -44,6 +44,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlit.llm.crf import identify_languages
+
+    def held_out(doc_id):
+        return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, learn=~held_out(F.col("doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlit.llm.suffix_tree import suffix_tree_scores
 
@@ -65,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_licence_scan": op3_licence_scan,
         "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
+        "op7_language_crf": op7_language_crf,
         "op9_suffix_tree": op9_suffix_tree,
         "op10_warc": op10_warc,
     }
