@@ -61,6 +61,12 @@ def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlit.llm.vector_graph import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlit.llm.suffix_tree import suffix_tree_scores
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_language_crf": op7_language_crf,
+        "op8_vector_graph": op8_vector_graph,
         "op9_suffix_tree": op9_suffix_tree,
         "op10_warc": op10_warc,
     }
