@@ -247,16 +247,23 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(t, label) for label, own in kept.items() for t in own[:per_lang]]
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = 250, window: int = 3000, spans: bool = False, model: Crf | None = None) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = 250, window: int = 3000, spans: bool = False, model: Crf | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score; with ``spans``
-    also the runs of words of one language (first word, number, language)."""
+    also the runs of words of one language (first word, number, language).
+    Columns of ``docs`` named in ``keep`` come along unchanged."""
     if model is None:
         model = fit(labelled_sample(docs, id_col, text_col, lang_col, F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)), per_lang, window))
     packed = docs.sparkSession.sparkContext.broadcast(model)  # 65536 rows and the lexicon, whatever the input
     kind = "doc_id long, lang_pred string, score double" + ", spans array<struct<first:long,n:long,lang:string>>" * spans
     schema = [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())] + [("spans", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("lang", pa.string())])))] * spans
 
-    def some(own: Crf | None, keys: list, texts: list[str | None]):
+    import pyspark.sql.types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    more = [docs.schema[c] for c in keep or []]
+    schema += [(f.name, to_arrow_type(f.dataType)) for f in more]
+
+    def some(own: Crf | None, keys: list, texts: list[str | None], rest: list):
         split = [split_words(t) for t in texts]
         full = [i for i, w in enumerate(split) if w and own is not None]
         pred, score, runs = ["und"] * len(keys), [0.0] * len(keys), [[] for _ in keys]
@@ -276,7 +283,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         columns = [pa.array(keys, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
         if spans:
             columns.append(pa.array(runs, schema[3][1]))
-        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(schema))
+        return pa.RecordBatch.from_arrays(columns + rest, schema=pa.schema(schema))
 
     def run(stream):
         own = packed.value
@@ -286,7 +293,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size > 400_000 or i + 1 == len(texts):
-                    yield some(own, keys[begin : i + 1], texts[begin : i + 1])
+                    yield some(own, keys[begin : i + 1], texts[begin : i + 1], [batch.column(2 + k).slice(begin, i + 1 - begin).cast(schema[k - len(more)][1]) for k in range(len(more))])
                     begin, size = i + 1, 0
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    result = T.StructType(T._parse_datatype_string(kind).fields + [T.StructField(f.name, f.dataType) for f in more])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(f"__keep_{i}") for i, f in enumerate(more)]).mapInArrow(run, result)
