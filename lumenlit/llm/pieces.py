@@ -18,73 +18,84 @@ _ODD = re.compile(r"\s (?:\s|\Z)")  # a space inside a run of white space
 _CUT = re.compile(r"(?= \S)")
 
 
+class _Places(dict):
+    """Place of each key in the table; a new key gets the next one."""
+
+    def __init__(self, table: "PieceTable", lead: str):
+        super().__init__()
+        self.table, self.lead = table, lead
+
+    def __missing__(self, key: str) -> int:
+        new = self.table.new
+        place = self[key] = self.table.n + len(new)
+        new.append(self.lead + key)
+        return place
+
+
 class PieceTable:
     """``encode_many`` gives the ids of each of a list of strings.
 
     ``max_chars`` bounds the characters held; beyond it the table starts anew,
-    which costs time and never changes a result.
+    which costs time and never changes a result. ``end`` is an id that follows
+    every text.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], max_chars: int = 12_000_000):
-        self.encode_many, self.max_chars = encode_many, max_chars
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], max_chars: int = 20_000_000, end: int | None = None):
+        self.encode_many, self.max_chars, self.end = encode_many, max_chars, end
         self._clear()
 
     def _clear(self) -> None:
-        self.spaced: dict[str, int] = {}  # key w stands for " " + w
-        self.plain: dict[str, int] = {}
+        self.new: list[str] = []
+        self.spaced, self.plain = _Places(self, " "), _Places(self, "")  # key w stands for " " + w, or for itself
         self.chars, self.n, self.used = 0, 0, 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
+        if self.end is not None:
+            self._append([[self.end]])
 
-    def _add(self, table: dict[str, int], keys: list[str], lead: str) -> None:
-        for at in range(0, len(keys), 4096):
-            part = keys[at : at + 4096]
-            codes = self.encode_many([lead + k for k in part])
-            lens = np.fromiter(map(len, codes), np.int64, len(codes))
-            flat = np.fromiter((x for c in codes for x in c), np.uint32, int(lens.sum()))
-            while self.n + len(part) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.length[self.n : self.n + len(part)] = lens
-            self.start[self.n : self.n + len(part)] = self.used + np.cumsum(lens) - lens
-            table.update(zip(part, range(self.n, self.n + len(part))))
-            self.n += len(part)
-            self.used += len(flat)
-            self.chars += sum(map(len, part)) + 16 * len(part)
+    def _append(self, codes: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, codes), np.int64, len(codes))
+        flat = np.fromiter((x for c in codes for x in c), np.uint32, int(lens.sum()))
+        while self.n + len(codes) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.length[self.n : self.n + len(codes)] = lens
+        self.start[self.n : self.n + len(codes)] = self.used + np.cumsum(lens) - lens
+        self.n += len(codes)
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
         if self.chars > self.max_chars:
             self._clear()
-        rows: list[tuple[list[str], list[str]]] = []
-        for t in texts:
+        index: list[int] = []
+        per, tail = np.empty(len(texts), np.int64), [0] * (self.end is not None)
+        spaced, plain, before = self.spaced.__getitem__, self.plain.__getitem__, 0
+        for i, t in enumerate(texts):
             if _ODD.search(t):
-                rows.append((_CUT.split(t), []))
+                index.extend(map(plain, _CUT.split(t)))
             else:
                 words = t.split(" ")
-                rows.append((words[:1], words[1:]))
-        new = {p for plain, _ in rows for p in plain if p not in self.plain}
-        self._add(self.plain, list(new), "")
-        new = set()
-        for _, words in rows:
-            new.update(words)
-        self._add(self.spaced, [w for w in new if w not in self.spaced], " ")
-        total = sum(len(a) + len(b) for a, b in rows)
-        index, per, at = np.empty(total, np.int64), np.empty(len(rows), np.int64), 0
-        for i, (plain, words) in enumerate(rows):
-            index[at : at + len(plain)] = [self.plain[p] for p in plain]
-            at += len(plain)
-            index[at : at + len(words)] = list(map(self.spaced.__getitem__, words))
-            at += len(words)
-            per[i] = len(plain) + len(words)
-        lens = self.length[index]
+                index.append(plain(words[0]))
+                del words[0]
+                index.extend(map(spaced, words))
+            index += tail
+            per[i] = len(index) - before
+            before = len(index)
+        new, self.new = self.new, []
+        for at in range(0, len(new), 4096):
+            self._append(self.encode_many(new[at : at + 4096]))
+        self.chars += sum(map(len, new)) + 16 * len(new)
+        where = np.array(index, np.int64)
+        lens = self.length[where]
         ends = np.cumsum(lens)
-        n = int(ends[-1]) if total else 0
-        flat = self.pool[np.repeat(self.start[index] - (ends - lens), lens) + np.arange(n)]
+        n = int(ends[-1]) if len(where) else 0
+        at = np.repeat(self.start[where] - (ends - lens), lens)
+        at += np.arange(n)
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per)))]
-        return flat, np.diff(bounds)
+        return self.pool[at], np.diff(bounds)
 
 
 def batches(texts: list[str], max_chars: int = 2_000_000):

@@ -19,6 +19,7 @@ read. Equal ids are ordered by their text.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlit.llm.bpe import byte_chars
 from lumenlit.llm.pieces import PieceTable, batches
 from lumenlit.llm.store import AtomicFile, read_file
 
 _RANK = 512  # bits between entries of the rank directory
 _TOKENS = 8_000_000  # a file is closed once it has this many
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _widths(ids: np.ndarray) -> list[int]:
@@ -165,17 +168,59 @@ class DacFile:
         return out
 
 
-_tables: dict[str, PieceTable] = {}
+_tables: dict[tuple[str, int], PieceTable] = {}
 
 
-def _table(tokenizer_path: str) -> PieceTable:
-    """One table for each Python worker: later tasks use what earlier ones met."""
-    if tokenizer_path not in _tables:
+class _Words:
+    """Encodes pieces by the tokenizers library. A piece of letters, with or
+    without marks behind it, is one pre-token or two, and goes to the library's
+    BPE model at once; all others go through the whole tokenizer."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(tokenizer_path)
-        _tables[tokenizer_path] = PieceTable(lambda many: [e.ids for e in own.encode_batch_fast(many, add_special_tokens=False)])
-    return _tables[tokenizer_path]
+        self.own = Tokenizer.from_file(path)
+        self.model = self.own.model.tokenize
+        self.chars = dict(enumerate(byte_chars()))
+        steps = json.loads(self.own.to_str())
+        pre = steps.get("pre_tokenizer") or {}
+        #: only where the file has plain byte-level pre-tokens and nothing else
+        self.plain = steps.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        #: an added token must show itself by a mark before a letter
+        self.plain = self.plain and all(re.search(r"[^\w\s]\w", t["content"]) for t in steps.get("added_tokens") or [])
+        self.marks: dict[str, list[int]] = {}
+
+    def _ids(self, pre_token: str) -> list[int]:
+        return [t.id for t in self.model(pre_token.encode().decode("latin-1").translate(self.chars))]
+
+    def __call__(self, many: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(many)
+        rest = []
+        for i, piece in enumerate(many):
+            core = piece.rstrip(_MARKS)
+            if self.plain and (core[1:] if core[:1] == " " else core).isalpha():
+                ids = self._ids(core)
+                if len(core) < len(piece):
+                    tail = piece[len(core) :]
+                    if tail not in self.marks:
+                        if len(self.marks) > 50_000:
+                            self.marks.clear()
+                        self.marks[tail] = self._ids(tail)
+                    ids = ids + self.marks[tail]
+                out[i] = ids
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.own.encode_batch_fast([many[i] for i in rest], add_special_tokens=False) if rest else []):
+            out[i] = e.ids
+        return out
+
+
+def _table(tokenizer_path: str, end_id: int) -> PieceTable:
+    """One table for each Python worker: later tasks use what earlier ones met."""
+    key = (tokenizer_path, end_id)
+    if key not in _tables:
+        _tables[key] = PieceTable(_Words(tokenizer_path), end=end_id)
+    return _tables[key]
 
 
 def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens_per_file: int = _TOKENS) -> DataFrame:
@@ -192,7 +237,7 @@ def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        table = _table(tokenizer_path)
+        table = _table(tokenizer_path, end_id)
         docs: list[int | None] = []
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -208,12 +253,10 @@ def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for a, b in batches(texts):
                 flat, n = table.encode(texts[a:b])
-                ends = np.cumsum(n)
-                full = np.insert(flat, ends, np.uint32(end_id))
                 docs += keys[a:b]
-                counts.append(n + 1)
-                ids.append(full.astype(np.uint32))
-                held += len(full)
+                counts.append(n)
+                ids.append(flat)
+                held += len(flat)
                 if held >= tokens_per_file:
                     yield close()
                     seq, held = seq + 1, 0
