@@ -50,6 +50,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlit.llm.images import image_copies, render_vectors
+
+    return image_copies(render_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlit.llm.crf import identify_languages
 
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_licence_scan": op3_licence_scan,
         "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_image_copies": op6_image_copies,
         "op7_language_crf": op7_language_crf,
         "op8_vector_graph": op8_vector_graph,
         "op9_suffix_tree": op9_suffix_tree,
