@@ -18,6 +18,7 @@ import hashlib
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,8 +144,6 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded`` (binary): the bytes of the ids; null ids give null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def back(col: pd.Series) -> pd.Series:
         own = bpe_for(ranks_path, pattern)
