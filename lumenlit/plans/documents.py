@@ -58,7 +58,7 @@ def class_labels(b):
     return S.class_terms(S.terms(docs(b)), b.documents().select(F.col("doc_id").alias("id"), F.col("lang").alias("cls")))
 
 
-@query("J12 J15 E19 C10 G10", "", "WITH p AS (SELECT item_id, ' ' || " + NORM.format(x="text") + " || ' ' AS p FROM benchmark), d AS (SELECT doc_id, ' ' || " + NORM.format(x="text") + " || ' ' AS t FROM documents) SELECT item_id AS passage_id, doc_id AS text_id FROM p JOIN d ON contains(t, p) WHERE len(p) >= 22")
+@query("J12 J15 E19 G10", "", "WITH p AS (SELECT item_id, ' ' || " + NORM.format(x="text") + " || ' ' AS p FROM benchmark), d AS (SELECT doc_id, ' ' || " + NORM.format(x="text") + " || ' ' AS t FROM documents) SELECT item_id AS passage_id, doc_id AS text_id FROM p JOIN d ON contains(t, p) WHERE len(p) >= 22")
 def contained_passages(b):
     return M.contained_passages(b.table("benchmark").select(F.col("item_id").alias("id"), "text"), docs(b))
 
