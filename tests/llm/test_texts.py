@@ -24,7 +24,7 @@ def docs(spark, rows):
 
 def duck(df, sql):
     con = duckdb.connect()
-    con.register("documents", df.toPandas())
+    con.register("documents", df.toArrow())
     got = con.sql(sql).fetchall()
     return sorted(got, key=str)
 
