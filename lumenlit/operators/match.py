@@ -16,14 +16,23 @@ def exact_titles(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fuzzy_titles(left: DataFrame, right: DataFrame, threshold: float = 0.85, margin: float = 0.05) -> DataFrame:
-    """Best title by token Jaccard. Candidates share a token; those whose
-    sizes alone rule the threshold out are dropped before they are counted. A
-    runner-up within the margin makes a match ambiguous."""
-    x = left.select(F.col("id").alias("l"), title_tokens(F.col("title")).alias("t")).withColumn("nl", F.size("t"))
-    y = right.select(F.col("id").alias("r"), title_tokens(F.col("title")).alias("u")).withColumn("nr", F.size("u"))
-    pairs = x.select("l", "nl", F.explode("t").alias("w")).join(y.select("r", "nr", F.explode("u").alias("w")), "w")
-    pairs = pairs.filter((F.least("nl", "nr") >= threshold * F.greatest("nl", "nr")))
-    score = pairs.groupBy("l", "r", "nl", "nr").agg(F.count("*").alias("c")).withColumn("score", F.col("c") / (F.col("nl") + F.col("nr") - F.col("c"))).filter(F.col("score") >= threshold)
+    """Best title by token Jaccard. A runner-up within the margin makes a match
+    ambiguous.
+
+    Two sets at the threshold share one of the rarest tokens of each: only these
+    prefixes are joined, so that common words bring no candidates.
+    """
+    x = left.select(F.col("id"), F.lit(0).alias("side"), title_tokens(F.col("title")).alias("t"))
+    both = x.union(right.select(F.col("id"), F.lit(1), title_tokens(F.col("title"))))
+    df = both.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    ranked = both.select("id", "side", "t", F.explode("t").alias("w")).join(df, "w").withColumn("n", F.size("t"))
+    order = Window.partitionBy("side", "id").orderBy("df", "w")
+    prefix = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    a = prefix.filter("side = 0").select(F.col("id").alias("l"), "w", F.col("t").alias("t"), F.col("n").alias("nl"))
+    b = prefix.filter("side = 1").select(F.col("id").alias("r"), "w", F.col("t").alias("u"), F.col("n").alias("nr"))
+    pairs = a.join(b, "w").filter(F.least("nl", "nr") >= threshold * F.greatest("nl", "nr")).dropDuplicates(["l", "r"])
+    shared = F.size(F.array_intersect("t", "u"))
+    score = pairs.select("l", "r", (shared / (F.col("nl") + F.col("nr") - shared)).alias("score")).filter(F.col("score") >= threshold)
     w = Window.partitionBy("l").orderBy(F.desc("score"), "r")
     best = score.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("rank = 1")
     kind = F.when(F.col("next").isNotNull() & (F.col("score") - F.col("next") < margin), "ambiguous").when(F.col("score") == 1, "exact").otherwise("fuzzy")

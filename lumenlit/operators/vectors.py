@@ -31,6 +31,25 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> Dat
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def pairs_at_least(rows: DataFrame, least: float, blocks: int = 8) -> DataFrame:
+    """Pairs (id < other) of rows with a cosine of at least ``least``; every two
+    blocks meet in one task, which gives the pairs found there only."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    dealt = rows.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).withColumn("lo", F.least("own", "x")).withColumn("hi", F.greatest("own", "x"))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, ids, own = np.stack(pdf["v"]).astype(float), pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        a, b = np.flatnonzero(own == pdf["lo"].iloc[0]), np.flatnonzero(own == pdf["hi"].iloc[0])
+        sims = np.round(v[a] @ v[b].T, 9)
+        i, j = np.nonzero(sims >= least)
+        x, y, s = ids[a[i]], ids[b[j]], sims[i, j]
+        keep = x < y if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else x != y
+        return pd.DataFrame({"id": np.minimum(x, y)[keep], "other": np.maximum(x, y)[keep], "sim": s[keep]})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(block, "id long, other long, sim double")
+
+
 def centroids(rows: DataFrame) -> DataFrame:
     """cls and the mean of its vectors, component by component, in one pass of
     partial sums."""

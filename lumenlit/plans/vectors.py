@@ -29,7 +29,7 @@ def cross_pairs(b):
     """Similar vectors of different classes, block by block."""
     r = _rows(b)
     cls = r.select("id", "cls")
-    near = V.nearest(r.select("id", "v"), r.select("id", "v"), 200).filter("sim >= 0.4 and id < other")
+    near = V.pairs_at_least(r.select("id", "v"), 0.4)
     j = near.join(cls, "id").join(cls.select(F.col("id").alias("other"), F.col("cls").alias("c2")), "other").filter("cls <> c2")
     return j.select(F.col("id").alias("a"), F.col("other").alias("b"), F.round("sim", 6).alias("sim"))
 
