@@ -9,8 +9,8 @@
    brute force. In a larger one, classes are first compared with its pivot;
    those that are all but equal to it leave, as by the triangle inequality of
    the Jaccard distance the pivot stands for them. The others are split again,
-   on two bins sampled for this path. What is still too large at ``depth`` is
-   compared block by block. A pair of similarity s misses a run with
+   on two bins sampled for this path, or, where a tenth resembles the pivot,
+   compared block by block, as what is still too large at ``depth`` is. A pair of similarity s misses a run with
    probability 1-s or less at the first level, so all runs miss it with
    (1-s)^runs; ``runs`` is taken for the target recall.
 3. Candidates, found with a margin of four standard errors, only bind classes
@@ -155,10 +155,9 @@ def _split(rows: DataFrame, tokens: int, roots: list[int] | None = None) -> Data
     return rows.select(*columns).mapInArrow(run, "path long, key binary")
 
 
-def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float, block_col: str | None = None) -> DataFrame:
+def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float) -> DataFrame:
     """Edges that bind the candidates of every bucket, at most one for each of
-    its classes. With ``block_col`` only pairs between its values 0 and 1 and
-    within 0 count, which other groups don't see."""
+    its classes."""
 
     def run(stream):
         for _, g in grouped(stream, by):
@@ -167,15 +166,18 @@ def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float, block_
                 continue
             s = np.frombuffer(b"".join(g["sketch"]), "<u4").reshape(m, tokens)
             n = np.array(g["n"])
-            left, right = [], []
-            for i in range(m - 1):
-                same = (s[i + 1 :] == s[i]).mean(axis=1)
-                hit = np.flatnonzero(same >= _least(n[i + 1 :], n[i], threshold, tokens)) + i + 1
-                left += [i] * len(hit)
-                right += hit.tolist()
-            if left:
-                root = forest(m, left, right)
-                rows = [(i, r) for i, r in enumerate(root) if i != r]
+            open_, rows = np.arange(m), []
+            while len(open_):  # each class is compared until something reaches it
+                root, open_ = open_[0], open_[1:]
+                reached = [root]
+                while reached and len(open_):
+                    i = reached.pop()
+                    hit = (s[open_] == s[i]).mean(axis=1) >= _least(n[open_], n[i], threshold, tokens)
+                    new = open_[hit].tolist()
+                    rows += [(x, root) for x in new]
+                    reached += new
+                    open_ = open_[~hit]
+            if rows:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([g["key"][i] for i, _ in rows], pa.binary()), "b": pa.array([g["key"][r] for _, r in rows], pa.binary())})
 
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
@@ -192,7 +194,7 @@ def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> Data
             n, m = batch.column(2).to_numpy(), batch.column(6).to_numpy()
             same = (own == pivot).mean(axis=1)
             edge = same >= _least(n, m, threshold, tokens)
-            gone = same >= near + 3 * np.sqrt(near * (1 - near) / tokens)
+            gone = same >= near
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(edge), pa.array(gone & edge)], names=["path", "key", "n", "sketch", "pivot", "edge", "gone"])
 
     first = rows.groupBy("path").agg(F.min(F.struct("key", "sketch", "n")).alias("p"))
@@ -225,13 +227,14 @@ def candidate_edges(classes: DataFrame, threshold: float, tokens: int, runs: int
         big = held.filter(F.col("size") > bucket).select("path", "key", "n", "sketch")
         seen = materialise(_pivots(big, tokens, threshold, (1 + threshold) / 2), "pivots")
         found = found.union(seen.filter("edge and key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        # a bucket of near-copies would not get smaller by any split
+        alike = materialise(seen.groupBy("path").agg(F.count_if("edge").alias("hits"), F.count("*").alias("all"), F.count_if(~F.col("gone")).alias("size")), "alike")
+        block = F.lit(level == depth) | (F.col("hits") >= 0.1 * F.col("all"))
         rest = seen.filter(~F.col("gone")).select("path", "key", "n", "sketch")
-        if level < depth:
-            rows = materialise(_split(rest, tokens), "paths")
-            continue
-        left = materialise(rest.groupBy("path").agg(F.count("*").alias("size")), "sizes")
-        dealt = _blocks(rest, "path", left, bucket).select("path", "lo", "hi", "key", "n", "sketch")
+        dealt = _blocks(rest, "path", alike.filter(block), bucket // 2).select("path", "lo", "hi", "key", "n", "sketch")
         found = found.union(_brute(dealt, ["path", "lo", "hi"], tokens, threshold))
+        if level < depth:
+            rows = materialise(_split(rest.join(alike.filter(~block).select("path"), "path", "left_semi"), tokens), "paths")
     return found
 
 
@@ -271,7 +274,7 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.select(*by, "own", "key", "copies", "shingles").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "key binary, links long, root binary")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tokens: int = 64, recall: float = 0.9999, bucket: int = 64, depth: int = 5, block: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tokens: int = 64, recall: float = 0.9999, bucket: int = 1024, depth: int = 5, block: int = 256) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, copies (rows with the
     same set, itself included), n_links (other rows at ``threshold`` or more,
     copies included), class_id (the smallest id of its group by links), kept
