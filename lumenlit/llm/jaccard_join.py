@@ -7,9 +7,11 @@
 2. Chosen-path recursion: each of ``runs`` runs splits all classes on the token
    of one sampled bin. Buckets of at most ``bucket`` classes are compared by
    brute force. In a larger one, classes are first compared with its pivot;
-   those that are all but equal to it leave, as by the triangle inequality of
-   the Jaccard distance the pivot stands for them. The others are split again,
-   on two bins sampled for this path, or, where a tenth resembles the pivot,
+   those whose sketches are all but equal to its own are bound to it and leave.
+   The share of differing bins is a metric: only what comes within ``1 - near``
+   of the pivot's own margin can be a candidate of one that leaves, and such
+   classes that the pivot does not bind are compared with all that leave, so a
+   large bucket loses no candidate by it. The others are split again, on two bins sampled for this path, or, where a tenth resembles the pivot,
    compared block by block, as what is still too large at ``depth`` is. A pair of similarity s misses a run with
    probability 1-s or less at the first level, so all runs miss it with
    (1-s)^runs; ``runs`` is taken for the target recall.
@@ -185,7 +187,8 @@ def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float) -> Dat
 
 def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> DataFrame:
     """Rows of large buckets with their pivot's key and how they relate to it:
-    edge (a candidate), gone (all but equal, or the pivot itself)."""
+    same (share of equal bins), edge (a candidate), gone (all but equal, or the
+    pivot itself)."""
 
     def run(stream):
         for batch in stream:
@@ -195,11 +198,11 @@ def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> Data
             same = (own == pivot).mean(axis=1)
             edge = same >= _least(n, m, threshold, tokens)
             gone = same >= near
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(edge), pa.array(gone & edge)], names=["path", "key", "n", "sketch", "pivot", "edge", "gone"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(same), pa.array(edge), pa.array(gone & edge)], names=["path", "key", "n", "sketch", "pivot", "same", "edge", "gone"])
 
     first = rows.groupBy("path").agg(F.min(F.struct("key", "sketch", "n")).alias("p"))
     joined = rows.join(first, "path").select("path", "key", "n", "sketch", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn"))
-    return joined.mapInArrow(run, "path long, key binary, n long, sketch binary, pivot binary, edge boolean, gone boolean")
+    return joined.mapInArrow(run, "path long, key binary, n long, sketch binary, pivot binary, same double, edge boolean, gone boolean")
 
 
 def _blocks(rows: DataFrame, by: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -210,6 +213,25 @@ def _blocks(rows: DataFrame, by: str, sizes: DataFrame, block: int) -> DataFrame
     return cut.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
 
+def _left_out(seen: DataFrame, tokens: int, threshold: float, near: float, block: int) -> DataFrame:
+    """Rows dealt to pairs of blocks (path, lo, hi) so that every class that
+    leaves meets every class that it may bind and its pivot does not.
+
+    Of three sketches, d(y, pivot) <= d(y, x) + d(x, pivot) for the share d of
+    differing bins, and d(x, pivot) <= 1 - near for each x that leaves."""
+    left = seen.filter("gone and key != pivot")
+    fewest = left.groupBy("path").agg(F.count("*").alias("left"), F.min("n").alias("fewest"))
+    n = F.greatest(F.lit(1), F.least("n", "fewest", F.lit(tokens)))
+    least = F.lit(threshold) - 4 * F.sqrt(threshold * (1 - threshold) / n)
+    open_ = seen.filter("not edge").join(fewest, "path").filter(F.col("same") >= least - (1 - near) - 1e-9)
+    sizes = open_.groupBy("path", "left").agg(F.count("*").alias("open")).select("path", *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("left", "open")])
+    out = []
+    for rows, own, other, own_name, other_name in ((left, "left", "open", "lo", "hi"), (open_.drop("left"), "open", "left", "hi", "lo")):
+        dealt = rows.join(sizes, "path").withColumn(own_name, F.pmod(F.xxhash64("key"), F.col(own)).cast("int"))
+        out.append(dealt.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("path", "lo", "hi", "key", "n", "sketch"))
+    return out[0].union(out[1])
+
+
 def candidate_edges(classes: DataFrame, threshold: float, tokens: int, runs: int, bucket: int, depth: int) -> DataFrame:
     """Edges (a, b) between keys that bind every candidate family."""
     roots = [round(i * tokens / runs) for i in range(runs)]
@@ -225,8 +247,10 @@ def candidate_edges(classes: DataFrame, threshold: float, tokens: int, runs: int
         if not large.limit(1).count():
             break
         big = held.filter(F.col("size") > bucket).select("path", "key", "n", "sketch")
-        seen = materialise(_pivots(big, tokens, threshold, (1 + threshold) / 2), "pivots")
+        near = (1 + threshold) / 2
+        seen = materialise(_pivots(big, tokens, threshold, near), "pivots")
         found = found.union(seen.filter("edge and key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        found = found.union(_brute(_left_out(seen, tokens, threshold, near, bucket // 2), ["path", "lo", "hi"], tokens, threshold))
         # a bucket of near-copies would not get smaller by any split
         alike = materialise(seen.groupBy("path").agg(F.count_if("edge").alias("hits"), F.count("*").alias("all"), F.count_if(~F.col("gone")).alias("size")), "alike")
         block = F.lit(level == depth) | (F.col("hits") >= 0.1 * F.col("all"))

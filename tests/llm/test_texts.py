@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.llm.crf import Crf, fit, identify_languages, split_words
-from lumenlit.llm.jaccard_join import jaccard_join
+from lumenlit.llm.components import forest
+from lumenlit.llm.jaccard_join import candidate_edges, jaccard_join
 from lumenlit.llm.licences import TEMPLATES, licence_sql, scan_licences
 from lumenlit.llm.mixing import mix_to_targets, mixing_sql
 from lumenlit.llm.suffix_tree import suffix_tree_scores
@@ -111,6 +112,33 @@ def test_jaccard_join_equals_brute_force(spark, options):
     assert not jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect()
 
 
+def test_a_large_bucket_of_near_copies_loses_no_candidate(spark):
+    rng, T = np.random.default_rng(5), 64
+    base = rng.integers(1, 1 << 32, T, dtype=np.uint32)
+    sketches = [base]
+
+    def fresh(x, bins):
+        out = x.copy()
+        out[bins] = rng.integers(1, 1 << 32, len(bins), dtype=np.uint32)
+        return out
+
+    for _ in range(120):  # 58 bins or more like the pivot's: they leave
+        sketches.append(fresh(base, rng.choice(np.arange(1, T), rng.integers(1, 7), replace=False)))
+    for x in sketches[1:40]:  # most share 39 or more bins with one that leaves, and fewer with the pivot
+        kept = np.flatnonzero(x != base)
+        others = np.setdiff1d(np.arange(1, T), kept)
+        sketches.append(fresh(x, rng.choice(others, 25, replace=False)))
+    sketches += [np.append(base[:1], rng.integers(1, 1 << 32, T - 1, dtype=np.uint32)) for _ in range(20)]
+    keys = [bytes([0, i // 256, i % 256]) for i in range(len(sketches))]
+    classes = spark.createDataFrame([(k, 500, x.astype("<u4").tobytes()) for k, x in zip(keys, sketches)], "key binary, n long, sketch binary")
+    found = candidate_edges(classes, 0.8, T, 1, 64, 2).collect()
+    s, place = np.array(sketches), {k: i for i, k in enumerate(keys)}
+    near = (s[:, None] == s[None]).mean(axis=2) >= 0.6
+    assert (near[0] != near[1:121].any(axis=0)).sum() > 5  # pairs that only a leaving class binds
+    want = forest(len(s), *np.nonzero(np.triu(near, 1)))
+    assert forest(len(s), [place[bytes(r.a)] for r in found], [place[bytes(r.b)] for r in found]) == want
+
+
 def test_marginals_equal_one_pass():
     rng = np.random.default_rng(1)
     model = Crf(["a", "b", "c"], {}, np.zeros((1, 3)), np.zeros((3, 3)), rng.normal(size=3), rng.normal(size=(3, 3)))
