@@ -75,6 +75,25 @@ def picture(seed, size=120):
     return np.kron(rng.integers(0, 256, (size // 10, size // 10)), np.ones((10, 10))).astype(float)
 
 
+def test_noisy_copies_of_rendered_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = unit(rng.normal(size=(120, 64)))
+    noisy = unit(base[:60] + 0.25 * rng.normal(size=(60, 64)) / 8)
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(np.concatenate([base, noisy]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.image_id: r.class_id for r in images.image_copies(images.render_vectors(df)).collect()}
+    own = {i: i if i < 120 else i - 120 for i in got}
+    assert sum(got[120 + i] == i for i in range(60)) >= 45
+    assert all(got[i] == i or got[i] == own[i] for i in got)  # no class holds two groups
+
+
+def test_overlay_tells_copies_from_chance():
+    x, y = picture(1), picture(2)
+    turned = np.rot90(x)
+    assert images.overlay(x, x[17:, 9:], 1, 9 + 17j) > 0.95 and images.overlay(x, turned, 1j, 120) > 0.95
+    assert images.overlay(x, y, 1, 0) < 0.6 and images.overlay(x, np.ones((50, 50)), 1, 0) == 0 and images.overlay(x, x, 1, 115 + 115j) == 0
+
+
 def test_cropped_and_edited_images(spark):
     rng = np.random.default_rng(9)
     rows = []
