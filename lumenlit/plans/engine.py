@@ -278,7 +278,7 @@ def set_benchmarks(b):
     return c.join(b.benchmarks(), F.col("id") == F.col("benchmark_id")).crossJoin(F.broadcast(n)).orderBy(F.desc("k"), "id").limit(150).select("name", "kind", "k", percentage(F.col("k"), F.col("n")).alias("share"))
 
 
-@query("A39 V14", "obs labels bench uses", "cell AS (SELECT label AS field, brand AS technique, count(DISTINCT o.paper_id) AS n FROM olabels l JOIN obs o USING (paper_id) JOIN uses u USING (obs_id) JOIN bench ON id = benchmark_id WHERE origin = 'declared_area' GROUP BY ALL) SELECT field, technique, n, sum(n) OVER (PARTITION BY field)::BIGINT AS field_papers, sum(n) OVER (PARTITION BY technique)::BIGINT AS technique_papers FROM cell")
+@query("A39", "obs labels bench uses", "cell AS (SELECT label AS field, brand AS technique, count(DISTINCT o.paper_id) AS n FROM olabels l JOIN obs o USING (paper_id) JOIN uses u USING (obs_id) JOIN bench ON id = benchmark_id WHERE origin = 'declared_area' GROUP BY ALL) SELECT field, technique, n, sum(n) OVER (PARTITION BY field)::BIGINT AS field_papers, sum(n) OVER (PARTITION BY technique)::BIGINT AS technique_papers FROM cell")
 def world_cells(b):
     l = b.labels().filter("origin = 'declared_area'").select("paper_id", F.col("label").alias("field"))
     t = b.uses().join(b.benchmarks().select(F.col("id").alias("benchmark_id"), F.col("brand").alias("technique")), "benchmark_id")

@@ -138,7 +138,7 @@ def verified_quotes(b):
     return hits.groupBy(F.col("passage_id").alias("item_id")).agg(F.count("*").alias("verified"))
 
 
-@query("T07 E08 E09", "", "WITH v AS (SELECT p_name AS n, count(*) AS k FROM part GROUP BY 1) SELECT n AS name, k FROM v WHERE k >= 5")
+@query("E08", "", "WITH v AS (SELECT p_name AS n, count(*) AS k FROM part GROUP BY 1) SELECT n AS name, k FROM v WHERE k >= 5")
 def settled_vocabulary(b):
     """Names kept until another pass changes nothing."""
     v = b.table("part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("k"))

@@ -103,7 +103,7 @@ def apply_decisions(b):
     return d.join(o, "id", "left").select("id", F.when(F.col("wanted").isNull(), "stale").when(F.col("n").isNull(), "unmatched").when(F.col("n") > 20, "conflict").otherwise("applied").alias("outcome"))
 
 
-@query("W10 W11 M08 V14", "", "WITH s AS (SELECT p_partkey AS id, p_retailprice AS score, p_size > 25 AS hit FROM part), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE id <= 400) SELECT id, rank, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS scaled, round(sum(hit::INT) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::DOUBLE / rank, 6) AS precision FROM r")
+@query("W10 W11 M08", "", "WITH s AS (SELECT p_partkey AS id, p_retailprice AS score, p_size > 25 AS hit FROM part), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE id <= 400) SELECT id, rank, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS scaled, round(sum(hit::INT) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::DOUBLE / rank, 6) AS precision FROM r")
 def ranked_precision(b):
     """Scores from 0 to 1 and precision at each rank, of a stated short list."""
     s = b.table("part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), (F.col("p_size") > 25).cast("int").alias("hit"))
