@@ -1,9 +1,9 @@
 """The corpus pipeline: documents in, encoded documents out.
 
 Each stage works on all that its predecessor kept, and all but the last return
-the columns of documents. Ids are taken to be unique; rows with a null id are
-never dropped by the near-duplicate stage, which decides by id. Null texts and
-texts without a letter have no language and go with the first stage.
+the columns of documents. The near-duplicate stage decides by row, so null and
+repeated ids are rows as any other. Null texts and texts without a letter have
+no language and go with the first stage.
 """
 
 from __future__ import annotations
@@ -32,12 +32,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id."""
-    joined = jaccard_join(docs)
-    drop = materialise(joined.filter("not kept and doc_id is not null").select("doc_id"), "dropped")
+    """One row of each group of near-duplicates: the smallest id, null ids last.
+    Rows are told apart by a number written with the stage's input."""
+    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    joined = jaccard_join(rows, id_col="row").filter("copies > 1 or n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    grouped = materialise(joined.join(rows.select("row", "doc_id"), "row"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = grouped.groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    drop = materialise(grouped.select("row").join(kept, "row", "left_anti"), "dropped")
     if drop.count() <= 500_000:  # 8 bytes a row
         drop = F.broadcast(drop)
-    return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(drop, "row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

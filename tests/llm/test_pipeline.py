@@ -52,6 +52,15 @@ def test_stages(spark):
         assert r.ids == tik.encode_ordinary(texts[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_near_duplicates_decide_by_row(spark):
+    r = random.Random(6)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(1000)}" for _ in range(40)) for x in "abcd")
+    rows = [(None, a), (None, a), (7, b), (7, b), (3, c), (5, c), (5, d), (None, d + " more"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], KIND)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted([(None, a), (7, b), (3, c), (5, d), (9, None), (9, None)], key=str)
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     docs, _ = make(spark, 60)
     docs.write.parquet(f"{tmp_path}/a/documents.parquet")
