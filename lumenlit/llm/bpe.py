@@ -23,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlit.llm.caches import claim
 from lumenlit.llm.pieces import PieceTable, batches
 
+#: Pre-tokens by which texts may be cut into pieces.
+_PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def byte_chars() -> list[str]:
     """A character for each byte: printable Latin-1 stands for itself, the
@@ -86,7 +90,7 @@ class Bpe:
         self.find, self.whole = regex.compile(pattern).findall, ranks
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.token = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.pieces = PieceTable(self._encode_many)
+        self.pieces = PieceTable(self._encode_many, max_chars=60_000_000, marks=(), cut=pattern == _PLAIN)
 
     def _encode_many(self, many: list[str]) -> list[list[int]]:
         split = [[p.encode("utf-8", "surrogatepass") for p in self.find(x)] for x in many]
@@ -95,22 +99,20 @@ class Bpe:
         known.update(zip(rest, self.model.encode([p.decode("latin-1").translate(self.chars) for p in rest], out_type=int, num_threads=1) if rest else []))
         return [[i for p in parts for i in known[p]] for parts in split]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the number of each."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (Arrow, or a list) one after another, and the number
+        of each."""
         return self.pieces.encode(texts)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_bpe: dict[tuple[str, str], Bpe] = {}
-
-
 def bpe_for(ranks_path: str, pattern: str) -> Bpe:
-    key = (ranks_path, pattern)
-    if key not in _bpe:
-        _bpe[key] = Bpe(read_ranks(ranks_path), pattern)
-    return _bpe[key]
+    held, key = claim("bpe"), (ranks_path, pattern)
+    if key not in held:
+        held[key] = Bpe(read_ranks(ranks_path), pattern)
+    return held[key]
 
 
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = True) -> DataFrame:
@@ -123,17 +125,17 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         own = bpe_for(ranks_path, pattern)
         decimal = [str(i) for i in range(len(own.token))]
         for batch in stream:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in batches(texts):
-                flat, n = own.encode(texts[a:b])
+            texts, keys = batch.column(1).cast(pa.string()), batch.column(0)
+            for a, b in batches(texts, 2_000_000):
+                flat, n = own.encode(texts.slice(a, b - a))
                 columns = [keys.slice(a, b - a), pa.array(n, pa.int64())]
                 ends = np.concatenate(([0], np.cumsum(n)))
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))))
                 if digests:
-                    every, first, second = flat.tolist(), [], []
+                    first, second = [], []
                     for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                        doc = every[x:y]
+                        doc = flat[x:y].tolist()
                         first.append(hashlib.sha256(" ".join(map(decimal.__getitem__, doc)).encode()).hexdigest())
                         second.append(hashlib.sha256(own.decode(doc)).hexdigest())
                     columns += [pa.array(first, pa.string()), pa.array(second, pa.string())]

@@ -19,7 +19,6 @@ read. Equal ids are ordered by their text.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import numpy as np
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.llm.bpe import byte_chars
+from lumenlit.llm.caches import claim
 from lumenlit.llm.pieces import PieceTable, batches
 from lumenlit.llm.store import AtomicFile, read_file
 
 _RANK = 512  # bits between entries of the rank directory
 _TOKENS = 8_000_000  # a file is closed once it has this many
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _widths(ids: np.ndarray) -> list[int]:
@@ -168,13 +167,10 @@ class DacFile:
         return out
 
 
-_tables: dict[tuple[str, int], PieceTable] = {}
-
-
 class _Words:
-    """Encodes pieces by the tokenizers library. A piece of letters, with or
-    without marks behind it, is one pre-token or two, and goes to the library's
-    BPE model at once; all others go through the whole tokenizer."""
+    """Encodes pieces by the tokenizers library. A piece of letters is one
+    pre-token and goes to the library's BPE model at once; all others go through
+    the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -185,29 +181,15 @@ class _Words:
         steps = json.loads(self.own.to_str())
         pre = steps.get("pre_tokenizer") or {}
         #: only where the file has plain byte-level pre-tokens and nothing else
-        self.plain = steps.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-        #: an added token must show itself by a mark before a letter
-        self.plain = self.plain and all(re.search(r"[^\w\s]\w", t["content"]) for t in steps.get("added_tokens") or [])
-        self.marks: dict[str, list[int]] = {}
-
-    def _ids(self, pre_token: str) -> list[int]:
-        return [t.id for t in self.model(pre_token.encode().decode("latin-1").translate(self.chars))]
+        self.plain = steps["model"].get("type") == "BPE" and steps.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        self.added = tuple(t["content"] for t in steps.get("added_tokens") or [])
 
     def __call__(self, many: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(many)
-        rest = []
+        rest, model, chars = [], self.model, self.chars
         for i, piece in enumerate(many):
-            core = piece.rstrip(_MARKS)
-            if self.plain and (core[1:] if core[:1] == " " else core).isalpha():
-                ids = self._ids(core)
-                if len(core) < len(piece):
-                    tail = piece[len(core) :]
-                    if tail not in self.marks:
-                        if len(self.marks) > 50_000:
-                            self.marks.clear()
-                        self.marks[tail] = self._ids(tail)
-                    ids = ids + self.marks[tail]
-                out[i] = ids
+            if self.plain and (piece[1:] if piece[:1] == " " else piece).isalpha() and piece not in self.added:
+                out[i] = [t.id for t in model(piece.encode().decode("latin-1").translate(chars))]
             else:
                 rest.append(i)
         for i, e in zip(rest, self.own.encode_batch_fast([many[i] for i in rest], add_special_tokens=False) if rest else []):
@@ -215,12 +197,19 @@ class _Words:
         return out
 
 
+def piece_table(tokenizer_path: str, end_id: int | None) -> PieceTable:
+    """Of a tokenizer file. Where its pre-tokens aren't plain byte-level ones,
+    texts are encoded whole, as those are that hold an added token."""
+    words = _Words(tokenizer_path)
+    return PieceTable(words, end=end_id, marks=words.added, cut=words.plain)
+
+
 def _table(tokenizer_path: str, end_id: int) -> PieceTable:
     """One table for each Python worker: later tasks use what earlier ones met."""
-    key = (tokenizer_path, end_id)
-    if key not in _tables:
-        _tables[key] = PieceTable(_Words(tokenizer_path), end=end_id)
-    return _tables[key]
+    held, key = claim("token_store"), (tokenizer_path, end_id)
+    if key not in held:
+        held[key] = piece_table(tokenizer_path, end_id)
+    return held[key]
 
 
 def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens_per_file: int = _TOKENS) -> DataFrame:
@@ -250,10 +239,10 @@ def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str
             return pa.RecordBatch.from_pylist([{"uri": uri, "part": part, "seq": seq, "n_docs": len(docs), "n_tokens": held}], schema=pa.schema([("uri", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in stream:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            texts, keys = batch.column(1).cast(pa.string()), batch.column(0)
             for a, b in batches(texts):
-                flat, n = table.encode(texts[a:b])
-                docs += keys[a:b]
+                flat, n = table.encode(texts.slice(a, b - a))
+                docs += keys.slice(a, b - a).to_pylist()
                 counts.append(n)
                 ids.append(flat)
                 held += len(flat)
