@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.llm.store import materialise
+from lumenlit.llm.store import discard, materialise
+
+#: Nodes of a larger degree than others are joined by a broadcast of at most so many.
+_HUBS = 50_000
 
 
 def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _tied(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with the m of their u; ``least`` has u, m and n, the edges of
+    u. Nodes with many edges are broadcast, so that no task gets all of one:
+    those over ``rows / _HUBS`` edges are at most ``_HUBS``."""
+    many = max(1000, rows // _HUBS)
+    least = materialise(least, "least")
+    hubs = F.broadcast(least.filter(F.col("n") > many).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= many).select("u", "m"), "u")
+    return edges.join(hubs, "u").union(rest)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: the smallest node that each node of an edge reaches.
 
@@ -26,14 +40,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before = _state(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = materialise(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = materialise(_tied(both, least, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _tied(large, low, before[0])
         small = joined.filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "edges")
+        last, now = now, materialise(small, "edges")
         after = _state(now)
+        discard(last, large)
         if after == before:
             break
         before = after

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,26 +10,57 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, as a URI.
 
-    The setting is read from the session. Only where it is unset (tests on one
-    machine) a local folder is chosen and set for the session.
+    The setting is read from the session. Only where it is unset and the master
+    is this machine (tests) a local folder is chosen and set for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenlit-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside are removed as each query ends: its
+    result is in the shared folder by then."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
     and lost executors cost a reread only."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    with brief_shuffles(spark):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lumenlit_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for these frames. Nothing that is
+    still to be computed may read them."""
+    for df in frames:
+        fs, path = filesystem(df._lumenlit_path)
+        with contextlib.suppress(FileNotFoundError):
+            fs.delete_dir(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
