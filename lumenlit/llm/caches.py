@@ -17,12 +17,31 @@ _owner: str | None = None
 _held: dict = {}
 
 
+def _libc():
+    with contextlib.suppress(OSError):  # glibc only
+        return ctypes.CDLL("libc.so.6")
+    return None
+
+
 def release() -> None:
     """Give freed memory back."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # glibc only
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    with contextlib.suppress(AttributeError):
+        _libc().malloc_trim(0)
+
+
+def tidy(run):
+    """The function of a ``mapInArrow``, with its memory given back as a task
+    ends: idle workers stay, and the next stage's executors need it."""
+
+    def wrapped(stream):
+        try:
+            yield from run(stream)
+        finally:
+            release()
+
+    return wrapped
 
 
 def claim(owner: str) -> dict:

@@ -171,3 +171,88 @@ def test_normaliser(tmp_path):
     (tmp_path / "cut.warc.gz").write_bytes((tmp_path / "raw.warc.gz").read_bytes()[:3000])
     with pytest.raises(ValueError):
         warc.normalise_archive(str(tmp_path / "cut.warc.gz"), out)
+
+
+def test_records_are_valid(spark, tmp_path):
+    import re
+
+    rows = [(5, "http://a/é\u2028x y", "same"), (3, "http://b", "same"), (3, "http://b", "same"), (9, None, "same"), (None, "u", "same"), (4, "u", ""), (6, "u", None), (7, "u", "alone")]
+    out = shared_dir(spark, "w")
+    warc.warc_roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string"), out).collect()
+    folder = out.removeprefix("file://")
+    import glob
+
+    data = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{folder}/warc/*.warc.gz"))
+    ids, named, kinds = [], [], []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        lines = head.decode("ascii").split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        f = dict(x.split(": ", 1) for x in lines[1:])
+        n = int(f["Content-Length"])
+        block, data = rest[:n], rest[n + 4 :]
+        assert rest[n : n + 4] == b"\r\n\r\n" and f["WARC-Block-Digest"] == "sha1:" + warc.base32_sha1(block)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"])
+        ids.append(f["WARC-Record-ID"])
+        kinds.append(f["WARC-Type"])
+        if f["WARC-Type"] == "revisit":
+            named.append(f["WARC-Refers-To"])
+        if f["WARC-Type"] == "response":
+            assert block.startswith(b"HTTP/1.1 200") and f["WARC-Payload-Digest"] == "sha1:" + warc.base32_sha1(block.partition(b"\r\n\r\n")[2])
+        if f.get("X-Page-ID") == "5":
+            assert f["WARC-Target-URI"] == "http://a/%C3%A9%E2%80%A8x%20y"
+    assert len(set(ids)) == len(ids) and set(named) <= set(ids) and len(named) == 3
+    assert kinds.count("response") == 5 and kinds[0] == "warcinfo"
+
+
+def soft_picture(seed, size=120, cell=10):
+    rng = np.random.default_rng(seed)
+    return images._blur(np.kron(rng.integers(0, 256, (size // cell, size // cell)), np.ones((cell, cell))).astype(np.float32)[None], 3)[0]
+
+
+EDITS = {
+    "cropped": lambda x, rng: x[20:100, 20:100],
+    "smaller": lambda x, rng: images._resize(x[None].astype(np.float32), 0.7)[0],
+    "contrast": lambda x, rng: 128 + 1.5 * (x - 128),
+    "noise": lambda x, rng: x + rng.normal(0, 8, x.shape),
+    "turned": lambda x, rng: np.rot90(x),
+    "paler": lambda x, rng: 0.8 * x + 30,
+}
+
+
+def test_edited_copies_by_kind_of_edit(spark):
+    rng, rows, n = np.random.default_rng(4), [], 20
+    for k, (name, edit) in enumerate(EDITS.items()):
+        for i in range(n):
+            x = soft_picture(1000 * k + i)
+            rows += [(10_000 * k + i, images.encode_pgm(x)), (10_000 * k + 5000 + i, images.encode_pgm(edit(x, rng)))]
+    rows += [(90_000 + i, images.encode_pgm(soft_picture(90_000 + i))) for i in range(30)]
+    got = {r.image_id: r.class_id for r in images.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert len(got) == len(rows)
+    for k, name in enumerate(EDITS):
+        assert sum(got[10_000 * k + 5000 + i] == 10_000 * k + i for i in range(n)) >= 0.9 * n, name
+    assert all(c == (i if i % 10_000 < 5000 else i - 5000) or c == i for i, c in got.items())  # no class of two pictures
+
+
+def test_a_large_group_of_copies_and_large_buckets(spark):
+    rng, x = np.random.default_rng(6), soft_picture(1)
+    rows = [(i, images.encode_pgm(x + rng.normal(0, 4, x.shape))) for i in range(60)] + [(100 + i, images.encode_pgm(soft_picture(50 + i))) for i in range(20)]
+    df = spark.createDataFrame(rows, "image_id long, image binary")
+    for part in (2000, 12):
+        got = {r.image_id: r for r in images.image_copies(df, tables=4, part=part).collect()}
+        assert all(got[i].class_id == 0 for i in range(60)) and all(got[100 + i].class_id == 100 + i for i in range(20))
+        assert sum(r.n_bound for r in got.values()) < 60 * 59 / 2  # a group is tied together, not paired out
+
+
+def test_png_of_other_depths():
+    import struct
+    import zlib
+
+    def png(bits, colour, w, h, lines, palette=b""):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"\0\0\0\0"
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + x for x in lines)))
+
+    assert images.decode_image(png(1, 0, 10, 1, [bytes([0b10100000, 0b01000000])])).tolist() == [[255, 0, 255, 0, 0, 0, 0, 0, 0, 255]]
+    assert images.decode_image(png(16, 0, 2, 1, [bytes([7, 99, 200, 1])])).tolist() == [[7, 200]]
+    assert images.decode_image(png(4, 3, 3, 1, [bytes([0x01, 0x20])], bytes([0, 0, 0, 30, 60, 90, 9, 9, 9]))).tolist() == [[0, 60, 9]]
+    assert images.decode_image(png(8, 3, 3, 1, [b"abc"])) is None
