@@ -6,10 +6,14 @@ language (its most frequent words); the field adds learned start weights and
 transitions. It is fitted by gradient descent on sequences in which segments of
 one or several languages follow one another, so that the transitions cover
 code-switched text. Words are labelled by exact forward-backward over the whole
-text: blocks of words are reduced to transfer matrices, these are chained from
-block to block, and the words of all blocks get their marginals at once. The
-language of a text is the one with the largest sum of marginals, its score
-their mean.
+text. With few languages, blocks of words are reduced to transfer matrices,
+these are chained from block to block, and the words of all blocks get their
+marginals at once; with many, states go from word to word for all texts at
+once. A long text is read in pieces, forwards for the states between them, then
+backwards for the marginals. The language of a text is the one with the largest
+sum of marginals, its score their mean.
+
+Words are runs of letters (Unicode's category L).
 
 The fit uses a bounded sample: about ``per_lang`` labelled rows of each
 language, of each a window of at most ``window`` characters. Everything else
@@ -18,23 +22,31 @@ reads whole texts.
 Cases: null texts and texts without a letter are ``und`` with score 0, as all
 texts are if no row has a label; ties go to the label that sorts first;
 repeated rows get equal results; an empty table gives no row; very long texts
-take memory in proportion to one batch; other columns are not read.
+take the memory of a piece and of their longest word; languages may be many;
+other columns are not read, but for those to be kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+from lumenlit.llm.caches import claim, tidy
+from lumenlit.llm.pieces import batches
+
+#: What Python takes for a word character though it is neither letter nor digit.
+_SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
 _HASH = 1 << 16
 _BLOCK = 32
+_FEW = 12  # languages, for matrices of blocks
+_CELLS = 4_000_000  # numbers that the marginals of one group of words may take, about
 
 
 def split_words(text: str | None) -> list[str]:
@@ -70,91 +82,191 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids_all[order], starts
 
 
+class _Memo:
+    """Scores of the words met so far."""
+
+    def __init__(self, width: int):
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, width))
+
+    def add(self, words: list[str], rows: np.ndarray) -> None:
+        n = len(self.place)
+        while n + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[n : n + len(words)] = rows
+        self.place.update(zip(words, range(n, n + len(words))))
+
+
 @dataclass
 class Crf:
     labels: list[str]
-    lexicon: dict[str, int]  # word -> bit set of the languages that list it
+    lexicon: dict[str, tuple[int, ...]]  # word -> the languages that list it
     grams: np.ndarray
     lex: np.ndarray
     start: np.ndarray
     trans: np.ndarray
-    _memo: dict[str, int] = field(default_factory=dict, repr=False)
-    _rows: np.ndarray | None = field(default=None, repr=False)
+
+    @property
+    def most_words(self) -> int:
+        """Words whose marginals are made at once."""
+        L = len(self.labels)
+        return max(64, _CELLS // (L * L if L <= _FEW else L))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each word for each label; distinct words once."""
+        L = len(self.labels)
         if not words:
-            return np.zeros((0, len(self.labels)))
-        if len(self._memo) > 400_000:
-            self._memo, self._rows = {}, None
-        new = [w for w in set(words) if w not in self._memo]
-        if new:
-            rows = np.concatenate([self._score(new[i : i + 20_000]) for i in range(0, len(new), 20_000)])
-            n = len(self._memo)
-            if self._rows is None:
-                self._rows = np.zeros((max(1024, len(new)), len(self.labels)))
-            while n + len(new) > len(self._rows):
-                self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-            self._rows[n : n + len(new)] = rows
-            self._memo.update(zip(new, range(n, n + len(new))))
-        return self._rows[np.fromiter(map(self._memo.__getitem__, words), np.int64, len(words))]
+            return np.zeros((0, L))
+        held = claim("crf")
+        if id(self) not in held or len(held[id(self)].place) * (200 + 8 * L) > 60_000_000:
+            held[id(self)] = _Memo(L)
+        memo = held[id(self)]
+        new = [w for w in set(words) if w not in memo.place]
+        for i in range(0, len(new), 20_000):
+            memo.add(new[i : i + 20_000], self._score(new[i : i + 20_000]))
+        return memo.rows[np.fromiter(map(memo.place.__getitem__, words), np.int64, len(words))]
 
     def _score(self, words: list[str]) -> np.ndarray:
         ids, starts = _grams(words)
-        bits = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
-        listed = bits[:, None] >> np.arange(len(self.labels)) & 1
-        return np.add.reduceat(self.grams[ids], starts, axis=0) + listed @ self.lex
+        if len(ids) * len(self.labels) > 4 * _CELLS and len(words) > 1:
+            half = len(words) // 2
+            return np.concatenate([self._score(words[:half]), self._score(words[half:])])
+        out = np.add.reduceat(self.grams[ids], starts, axis=0)
+        word, label = _listed(self.lexicon, words)
+        np.add.at(out, word, self.lex[label])
+        return out
 
     def marginals(self, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Marginals of each word; ``sizes`` are the words of each text, 1 or
         more. Exact over each text, however long."""
-        n, L = emissions.shape
-        blocks = -(-sizes // _BLOCK)
-        first_block = np.cumsum(blocks) - blocks
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        within = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        b, k = first_block[text] + within // _BLOCK, within % _BLOCK
-        nb = int(blocks.sum())
-        e = np.ones((nb, _BLOCK, L))
-        e[b, k] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
-        steps = np.zeros((nb, _BLOCK), bool)  # where a transition leads in
-        steps[b, k] = within > 0
+        return self.chained(emissions, sizes)[0]
+
+    def chained(self, emissions: np.ndarray, sizes: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """Marginals of each word, what leads out of each text's last word and
+        what leads back from its first. ``before`` leads into the first words
+        (the start if None), ``after`` back into the last ones."""
+        L = len(self.labels)
+        before = np.tile(np.exp(self.start - self.start.max()), (len(sizes), 1)) if before is None else before
+        after = np.ones((len(sizes), L)) if after is None else after
+        e = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+        A = np.exp(self.trans - self.trans.max())
+        return (_by_blocks if L <= _FEW else _by_words)(e, A, sizes, before, after)
+
+    def long_text(self, text: str, spans: bool):
+        """Sum of marginals, number of words, and the best label of each word if
+        ``spans``; a piece at a time."""
         A = np.exp(self.trans - self.trans.max())
-        eye = np.eye(L)
-        ahead = np.empty((nb, _BLOCK, L, L))
-        m = np.broadcast_to(eye, (nb, L, L))
-        for j in range(_BLOCK):
-            m = np.where(steps[:, j, None, None], m @ A, m) * e[:, j, None, :]
-            m = m / m.max(axis=(1, 2), keepdims=True)
-            ahead[:, j] = m
-        behind = np.empty((nb, _BLOCK, L, L))
-        m = np.broadcast_to(eye, (nb, L, L))
-        for j in range(_BLOCK - 1, -1, -1):
-            behind[:, j] = m
-            m = np.where(steps[:, j, None, None], A @ (e[:, j, :, None] * m), e[:, j, :, None] * m)
-            m = m / m.max(axis=(1, 2), keepdims=True)
-        whole = ahead[:, -1]
-        alpha, beta = np.empty((nb, L)), np.empty((nb, L))
-        order = np.argsort(-blocks, kind="stable")
-        sorted_blocks = -np.sort(-blocks)
-        state = np.tile(np.exp(self.start - self.start.max()), (len(sizes), 1))
-        most = int(blocks.max())
-        for j in range(most):
-            live = order[: np.searchsorted(-sorted_blocks, -j, side="left")]  # texts with more than j blocks
-            at = first_block[live] + j
-            alpha[at] = state[live]
-            nxt = np.einsum("xi,xij->xj", state[live], whole[at])
-            state[live] = nxt / nxt.sum(axis=1, keepdims=True)
-        state = np.ones((len(sizes), L))
-        for j in range(most - 1, -1, -1):
-            live = order[: np.searchsorted(-sorted_blocks, -j, side="left")]
-            at = first_block[live] + j
-            beta[at] = state[live]
-            prev = np.einsum("xij,xj->xi", whole[at], state[live])
-            state[live] = prev / prev.sum(axis=1, keepdims=True)
-        p = np.einsum("bi,bkij->bkj", alpha, ahead) * np.einsum("bkij,bj->bki", behind, beta)
-        p = p[b, k]
-        return p / p.sum(axis=1, keepdims=True)
+        states, words, total = [None], 0, np.zeros(len(self.labels))
+        parts = list(self._offsets(text))
+        for a, b in parts:
+            own = split_words(text[a:b])
+            _, out, _ = self.chained(self.emissions(own), np.array([len(own)]), states[-1])
+            states.append(out @ A)
+            words += len(own)
+        top, after = [], None
+        for (a, b), state in zip(reversed(parts), reversed(states[:-1])):
+            own = split_words(text[a:b])
+            p, _, back = self.chained(self.emissions(own), np.array([len(own)]), state, after)
+            after = back @ A.T
+            total += p.sum(axis=0)
+            if spans:
+                top.append(p.argmax(axis=1))
+        return total, words, np.concatenate(top[::-1]) if top else None
+
+    def _offsets(self, text: str):
+        """Where to cut a long text so that no word is cut and each piece has
+        one."""
+        at, most = 0, max(64, min(100_000, self.most_words))
+        while at < len(text):
+            end = min(len(text), at + most)
+            if end < len(text):
+                stop = LETTERS.match(text, end)
+                end = stop.end() if stop else end
+            if LETTERS.search(text, at, end):
+                yield at, end
+            at = end
+
+
+def _listed(lexicon: dict[str, tuple[int, ...]], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a place in ``words`` and a language that lists the word."""
+    pairs = [(i, x) for i, w in enumerate(words) for x in lexicon.get(w, ())]
+    return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def _by_words(e: np.ndarray, A: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """Forward-backward, a word of every text in each step."""
+    first = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    longest = -np.sort(-sizes)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    out, back = np.empty_like(before), np.empty_like(before)
+    live = [order[: np.searchsorted(-longest, -t, side="left")] for t in range(int(sizes.max()))]  # texts with more than t words
+    state = before.copy()
+    for t, own in enumerate(live):
+        at = first[own] + t
+        alpha[at] = _scaled((state[own] if t == 0 else state[own] @ A) * e[at])
+        state[own] = alpha[at]
+    out[:] = state
+    state = after.copy()
+    for t in range(len(live) - 1, -1, -1):
+        own = live[t]
+        at = first[own] + t
+        beta[at] = state[own]
+        message = _scaled(e[at] * beta[at])
+        back[own] = message
+        state[own] = message @ A.T
+    return _scaled(alpha * beta), out, back
+
+
+def _by_blocks(e_words: np.ndarray, A: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """Forward-backward by the transfer matrices of blocks of words."""
+    n, L = e_words.shape
+    blocks = -(-sizes // _BLOCK)
+    first_block = np.cumsum(blocks) - blocks
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    b, k = first_block[text] + within // _BLOCK, within % _BLOCK
+    nb = int(blocks.sum())
+    e = np.ones((nb, _BLOCK, L))
+    e[b, k] = e_words
+    steps = np.zeros((nb, _BLOCK), bool)  # where a transition leads in
+    steps[b, k] = within > 0
+    eye = np.eye(L)
+    ahead = np.empty((nb, _BLOCK, L, L))
+    m = np.broadcast_to(eye, (nb, L, L))
+    for j in range(_BLOCK):
+        m = np.where(steps[:, j, None, None], m @ A, m) * e[:, j, None, :]
+        m = m / m.max(axis=(1, 2), keepdims=True)
+        ahead[:, j] = m
+    behind = np.empty((nb, _BLOCK, L, L))
+    m = np.broadcast_to(eye, (nb, L, L))
+    for j in range(_BLOCK - 1, -1, -1):
+        behind[:, j] = m
+        m = np.where(steps[:, j, None, None], A @ (e[:, j, :, None] * m), e[:, j, :, None] * m)
+        m = m / m.max(axis=(1, 2), keepdims=True)
+    whole = ahead[:, -1]
+    alpha, beta = np.empty((nb, L)), np.empty((nb, L))
+    order = np.argsort(-blocks, kind="stable")
+    sorted_blocks = -np.sort(-blocks)
+    most = int(blocks.max())
+    state = before.copy()
+    for j in range(most):
+        live = order[: np.searchsorted(-sorted_blocks, -j, side="left")]  # texts with more than j blocks
+        at = first_block[live] + j
+        alpha[at] = state[live]
+        state[live] = _scaled(np.einsum("xi,xij->xj", state[live], whole[at]))
+    out, state = state, after.copy()
+    for j in range(most - 1, -1, -1):
+        live = order[: np.searchsorted(-sorted_blocks, -j, side="left")]
+        at = first_block[live] + j
+        beta[at] = state[live]
+        state[live] = _scaled(np.einsum("xij,xj->xi", whole[at], state[live]))
+    p = np.einsum("bi,bkij->bkj", alpha, ahead) * np.einsum("bkij,bj->bki", behind, beta)
+    return _scaled(p[b, k]), out, state
 
 
 def fit(texts: list[tuple[str, str]], lexicon_size: int = 1500, sequences: int = 6000, length: int = 24, steps: int = 40, l2: float = 1e-4, seed: int = 7) -> Crf | None:
@@ -168,10 +280,10 @@ def fit(texts: list[tuple[str, str]], lexicon_size: int = 1500, sequences: int =
     counts = {label: Counter() for label in labels}
     for w, label in split:
         counts[label].update(w)
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, tuple[int, ...]] = {}
     for i, label in enumerate(labels):
         for w, _ in sorted(counts[label].items(), key=lambda x: (-x[1], x[0]))[:lexicon_size]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << i
+            lexicon[w] = (*lexicon.get(w, ()), i)
     by_label = [[w for w, x in split if x == label] for label in labels]
     words: list[str] = []
     gold = np.empty((sequences, length), np.int64)
@@ -188,39 +300,44 @@ def fit(texts: list[tuple[str, str]], lexicon_size: int = 1500, sequences: int =
     distinct = distinct.tolist()
     ids, starts = _grams(distinct)
     owner = np.repeat(np.arange(len(distinct)), np.diff(np.append(starts, len(ids))))
-    listed = np.fromiter((lexicon.get(w, 0) for w in distinct), np.int64, len(distinct))[:, None] >> np.arange(L) & 1
+    listed, by = _listed(lexicon, distinct)
     place = place.reshape(sequences, length)
     model = Crf(labels, lexicon, np.zeros((_HASH, L)), np.zeros((L, L)), np.zeros(L), np.zeros((L, L)))
     params = [model.grams, model.lex, model.start, model.trans]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    hot = np.eye(L)[gold]
+    part = max(16, min(sequences, _CELLS // (L * max(L, length))))
     for step in range(1, steps + 1):
-        table = np.add.reduceat(model.grams[ids], starts, axis=0) + listed @ model.lex
-        E = table[place]
+        table = np.add.reduceat(model.grams[ids], starts, axis=0)
+        np.add.at(table, listed, model.lex[by])
         A = np.exp(model.trans)
-        e = np.exp(E - E.max(axis=2, keepdims=True))
-        alpha, beta = np.empty_like(e), np.ones_like(e)
-        alpha[:, 0] = np.exp(model.start) * e[:, 0]
-        alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
-        for t in range(1, length):
-            alpha[:, t] = (alpha[:, t - 1] @ A) * e[:, t]
-            alpha[:, t] /= alpha[:, t].sum(axis=1, keepdims=True)
-        for t in range(length - 2, -1, -1):
-            beta[:, t] = (beta[:, t + 1] * e[:, t + 1]) @ A.T
-            beta[:, t] /= beta[:, t].sum(axis=1, keepdims=True)
-        p = alpha * beta
-        p /= p.sum(axis=2, keepdims=True)
-        wrong = p - hot
-        per_word = np.zeros((len(distinct), L))
-        np.add.at(per_word, place.reshape(-1), wrong.reshape(-1, L))
-        pairs = np.zeros((L, L))
-        for t in range(1, length):
-            x = alpha[:, t - 1, :, None] * A * (e[:, t] * beta[:, t])[:, None, :]
-            pairs += (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            np.add.at(pairs, (gold[:, t - 1], gold[:, t]), -1.0)
+        per_word, pairs, begin = np.zeros((len(distinct), L)), np.zeros((L, L)), np.zeros(L)
+        for lo in range(0, sequences, part):
+            own, right = place[lo : lo + part], gold[lo : lo + part]
+            E = table[own]
+            e = np.exp(E - E.max(axis=2, keepdims=True))
+            alpha, beta = np.empty_like(e), np.ones_like(e)
+            alpha[:, 0] = np.exp(model.start) * e[:, 0]
+            alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
+            for t in range(1, length):
+                alpha[:, t] = (alpha[:, t - 1] @ A) * e[:, t]
+                alpha[:, t] /= alpha[:, t].sum(axis=1, keepdims=True)
+            for t in range(length - 2, -1, -1):
+                beta[:, t] = (beta[:, t + 1] * e[:, t + 1]) @ A.T
+                beta[:, t] /= beta[:, t].sum(axis=1, keepdims=True)
+            wrong = alpha * beta
+            wrong /= wrong.sum(axis=2, keepdims=True)
+            np.put_along_axis(wrong, right[:, :, None], np.take_along_axis(wrong, right[:, :, None], 2) - 1.0, 2)
+            np.add.at(per_word, own.reshape(-1), wrong.reshape(-1, L))
+            begin += wrong[:, 0].sum(axis=0)
+            for t in range(1, length):
+                x = alpha[:, t - 1, :, None] * A * (e[:, t] * beta[:, t])[:, None, :]
+                pairs += (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                np.add.at(pairs, (right[:, t - 1], right[:, t]), -1.0)
         grams = np.stack([np.bincount(ids, weights=per_word[owner, j], minlength=_HASH) for j in range(L)], axis=1)
+        by_list = np.zeros((L, L))
+        np.add.at(by_list, by, per_word[listed])
         scale = 1.0 / sequences
-        grads = [grams * scale, listed.T @ per_word * scale, wrong[:, 0].sum(axis=0) * scale, pairs * scale]
+        grads = [grams * scale, by_list * scale, begin * scale, pairs * scale]
         for i, (w, g) in enumerate(zip(params, grads)):
             g = g + l2 * w
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -247,10 +364,11 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(t, label) for label, own in kept.items() for t in own[:per_lang]]
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = 250, window: int = 3000, spans: bool = False, model: Crf | None = None, keep: list[str] | None = None) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = 250, window: int = 3000, spans: bool = False, model: Crf | None = None, keep: list[str] | None = None, long_text: int = 400_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score; with ``spans``
     also the runs of words of one language (first word, number, language).
-    Columns of ``docs`` named in ``keep`` come along unchanged."""
+    Columns of ``docs`` named in ``keep`` come along unchanged. Texts of more
+    than ``long_text`` characters are read in pieces."""
     if model is None:
         model = fit(labelled_sample(docs, id_col, text_col, lang_col, F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)), per_lang, window))
     packed = docs.sparkSession.sparkContext.broadcast(model)  # 65536 rows and the lexicon, whatever the input
@@ -263,23 +381,50 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = [docs.schema[c] for c in keep or []]
     schema += [(f.name, to_arrow_type(f.dataType)) for f in more]
 
+    def runs_of(own: Crf, top: np.ndarray) -> list[dict]:
+        cuts = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(top)]
+        return [{"first": a, "n": b - a, "lang": own.labels[top[a]]} for a, b in zip(cuts[:-1], cuts[1:])]
+
     def some(own: Crf | None, keys: list, texts: list[str | None], rest: list):
-        split = [split_words(t) for t in texts]
-        full = [i for i, w in enumerate(split) if w and own is not None]
+        """Rows of texts of which the last may be long, the others not."""
         pred, score, runs = ["und"] * len(keys), [0.0] * len(keys), [[] for _ in keys]
-        if full:
-            sizes = np.array([len(split[i]) for i in full])
-            p = own.marginals(own.emissions([w for i in full for w in split[i]]), sizes)
+
+        def put(i: int, total: np.ndarray, n: int, top) -> None:
+            best = int(total.argmax())
+            pred[i], score[i] = own.labels[best], min(1.0, float(total[best] / n))
+            if spans:
+                runs[i] = runs_of(own, top)
+
+        def finish(full: list[int], split: list[list[str]]) -> None:
+            if not full:
+                return
+            sizes = np.array([len(w) for w in split])
+            p = own.marginals(own.emissions([w for ws in split for w in ws]), sizes)
             starts = np.cumsum(sizes) - sizes
             sums = np.add.reduceat(p, starts, axis=0)
-            best = sums.argmax(axis=1)
             for row, i in enumerate(full):
-                pred[i] = own.labels[best[row]]
-                score[i] = min(1.0, float(sums[row, best[row]] / sizes[row]))
-                if spans:
-                    top = p[starts[row] : starts[row] + sizes[row]].argmax(axis=1)
-                    cuts = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(top)]
-                    runs[i] = [{"first": a, "n": b - a, "lang": own.labels[top[a]]} for a, b in zip(cuts[:-1], cuts[1:])]
+                put(i, sums[row], sizes[row], p[starts[row] : starts[row] + sizes[row]].argmax(axis=1) if spans else None)
+
+        full, split, held = [], [], 0
+        for i, t in enumerate(texts):
+            if own is None or not t:
+                continue
+            if len(t) > long_text:
+                total, n, top = own.long_text(t, spans)
+                if n:
+                    put(i, total, n, top)
+                continue
+            words = split_words(t)
+            if len(words) > own.most_words:
+                put(i, *own.long_text(t, spans))
+            elif words:
+                if held + len(words) > own.most_words:
+                    finish(full, split)
+                    full, split, held = [], [], 0
+                full.append(i)
+                split.append(words)
+                held += len(words)
+        finish(full, split)
         columns = [pa.array(keys, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
         if spans:
             columns.append(pa.array(runs, schema[3][1]))
@@ -288,13 +433,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(stream):
         own = packed.value
         for batch in stream:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            begin = size = 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > 400_000 or i + 1 == len(texts):
-                    yield some(own, keys[begin : i + 1], texts[begin : i + 1], [batch.column(2 + k).slice(begin, i + 1 - begin).cast(schema[k - len(more)][1]) for k in range(len(more))])
-                    begin, size = i + 1, 0
+            for a, b in batches(batch.column(1).cast(pa.string()), 400_000):
+                part = batch.slice(a, b - a)
+                yield some(own, part.column(0).to_pylist(), part.column(1).to_pylist(), [part.column(2 + k).cast(schema[k - len(more)][1]) for k in range(len(more))])
 
     result = T.StructType(T._parse_datatype_string(kind).fields + [T.StructField(f.name, f.dataType) for f in more])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(f"__keep_{i}") for i, f in enumerate(more)]).mapInArrow(run, result)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(f"__keep_{i}") for i, f in enumerate(more)]).mapInArrow(tidy(run), result)
