@@ -8,10 +8,13 @@ fitted weight over the cell's tokens, scaled so that the expected tokens are
 from its id lies below its probability.
 
 Sources may be without number: their factors stay in a table, a row for each
-source with its cells, and a sweep is one pass over it. Languages times topics
-must be at most ``max_pairs``; these few factors are kept by the driver.
+source with its cells, and a sweep is one pass over it. The factors of languages
+and topics are kept by the driver while there are at most ``max_pairs`` pairs of
+these; beyond, all factors are tables, and a sweep joins and sums three times.
 
-All of it runs in DataFrame functions.
+All of it runs in DataFrame functions. Sums of weights are decimal, so that
+neither tasks nor retries change a bit of them. A fit whose margins are off by
+more than ``tolerance`` of a target after the last sweep gives a warning.
 
 Cases: null sources, languages and topics count as the empty string; a null
 text has no tokens; cells without tokens get probability 1; rows of one id are
@@ -22,12 +25,13 @@ names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.llm.store import materialise
+from lumenlit.llm.store import discard, materialise
 
 _WORD = r"[^\x09-\x0D\x20]+"
 _SCALE = 2**52
@@ -48,6 +52,48 @@ def uniform(id_text: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_text, F.lit("")))), 1, 13), 16, 10).cast("double") / _SCALE
 
 
+def _sum(weight: Column) -> Column:
+    """In decimals: the order of rows does not matter."""
+    return F.coalesce(F.sum(weight.cast("decimal(38,10)")).cast("double"), F.lit(0.0))
+
+
+def _off(residual: float, tolerance: float) -> None:
+    if residual > tolerance:
+        warnings.warn(f"margins are off by up to {residual:.2%} of their targets", stacklevel=3)
+
+
+def _rake(cells: DataFrame, powers: tuple[float, float, float], sweeps: int, total: float, tolerance: float) -> DataFrame:
+    """Rows (s, l, t, n, r) of cells: r is the fitted weight over the tokens."""
+    wants = []
+    for key, power in zip("slt", powers):
+        want = cells.groupBy(key).agg(F.pow(F.sum("n"), F.lit(power)).alias("want"))
+        scale = total / want.agg(_sum(F.col("want"))).first()[0]
+        wants.append(materialise(want.select(key, (F.col("want") * scale).alias("want")), "mix-want"))
+    now = cells.withColumn("w", F.col("n"))
+    for _ in range(sweeps):
+        for key, want in zip("slt", wants):
+            ratio = now.groupBy(key).agg(_sum(F.col("w")).alias("sum")).join(want, key).select(key, (F.col("want") / F.col("sum")).alias("ratio"))
+            last, now = now, materialise(now.join(ratio, key).select("s", "l", "t", "n", (F.col("w") * F.col("ratio")).alias("w")), "mix-raked")
+            if hasattr(last, "_lumenlit_path"):
+                discard(last)
+    residual = [now.groupBy(key).agg(_sum(F.col("w")).alias("sum")).join(want, key).agg(F.max(F.abs(F.col("sum") / F.col("want") - 1))).first()[0] for key, want in zip("sl", wants)]
+    _off(max(residual), tolerance)
+    return materialise(now.select("s", "l", "t", "n", (F.col("w") / F.col("n")).alias("r")), "mix-rates")
+
+
+def _cap(rates: DataFrame, share: float, total: float, steps: int) -> float:
+    """The scale by which the expected tokens are ``share`` of all: beyond
+    probability 1 a cell gives no more, and the others make up for it."""
+    scale = share
+    for _ in range(steps):
+        capped = F.col("r") * F.lit(scale) >= 1
+        full, rest = rates.agg(F.coalesce(F.sum(F.when(capped, F.col("n"))), F.lit(0.0)), _sum(F.when(~capped, F.col("n") * F.col("r")))).first()
+        if not rest:
+            break
+        scale = (share * total - full) / rest
+    return scale
+
+
 def _lookup(factors: dict[str, float], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(factors.items()) for x in kv]), key)
 
@@ -65,6 +111,7 @@ def mix_to_targets(
     steps: int = 6,
     seed: str = "mix",
     max_pairs: int = 4096,
+    tolerance: float = 0.05,
     details: bool = False,
 ) -> DataFrame:
     """The documents that are kept, with the columns of ``docs``.
@@ -79,8 +126,21 @@ def mix_to_targets(
     keyed = docs.withColumn(own["tokens"], count_tokens(docs[text_col])).withColumns({own["source"]: F.coalesce(docs[source_col].cast("string"), empty), own["lang"]: F.coalesce(docs[lang_col].cast("string"), empty)}).withColumn(own["topic"], topic(docs[text_col], col["tokens"]))
     cells = materialise(keyed.groupBy(col["source"].alias("s"), col["lang"].alias("l"), col["topic"].alias("t")).agg(F.sum(col["tokens"]).cast("double").alias("n")).filter("n > 0"), "mix-cells")
     pairs = {(r.l, r.t): r.n for r in cells.groupBy("l", "t").agg(F.sum("n").alias("n")).limit(max_pairs + 1).collect()}
+
+    def chosen(joined: DataFrame, prob: Column) -> DataFrame:
+        kept = joined.filter(uniform(F.col(id_col).cast("string"), seed) < prob)
+        if details:
+            return kept.select(F.col(id_col).alias("doc_id"), col["source"].alias("source"), col["lang"].alias("lang"), col["topic"].alias("topic"), col["tokens"].alias("n_tokens"), F.round(prob, 6).alias("prob"))
+        return kept.select(*[kept[f"`{x}`"] for x in docs.columns])
+
     if len(pairs) > max_pairs:
-        raise ValueError(f"more than {max_pairs} pairs of a language and a topic")
+        total = cells.agg(F.sum("n")).first()[0]
+        rates = _rake(cells, powers, sweeps, total, tolerance)
+        scale = _cap(rates, share, total, steps)
+        own_rates = rates.select(*[F.col(k).alias(f"__mix_{k}") for k in "sltr"])
+        on = (col["source"] == F.col("__mix_s")) & (col["lang"] == F.col("__mix_l")) & (col["topic"] == F.col("__mix_t"))
+        return chosen(keyed.join(own_rates, on, "left"), F.coalesce(F.least(F.lit(1.0), F.col("__mix_r") * F.lit(scale)), F.lit(1.0)))
+    pairs = dict(sorted(pairs.items()))
     total = sum(pairs.values())
 
     def margin(k: int, power: float) -> dict[str, float]:
@@ -93,8 +153,8 @@ def mix_to_targets(
     by_lang, by_topic = margin(0, powers[1]), margin(1, powers[2])
     b, c = dict.fromkeys(by_lang, 1.0), dict.fromkeys(by_topic, 1.0)
     # a row for each source: its cells (at most max_pairs) and the power of its tokens
-    sources = materialise(cells.groupBy("s").agg(F.collect_list(F.struct("l", "t", "n")).alias("cells"), F.pow(F.sum("n"), F.lit(powers[0])).alias("want")), "mix-sources")
-    scale = total / (sources.agg(F.sum("want")).first()[0] or 1.0)
+    sources = materialise(cells.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("l", "t", "n"))).alias("cells"), F.pow(F.sum("n"), F.lit(powers[0])).alias("want")), "mix-sources")
+    scale = total / (sources.agg(_sum(F.col("want"))).first()[0] or 1.0)
 
     def factor() -> Column:
         weights = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x.n * _lookup(b, x.l) * _lookup(c, x.t))
@@ -103,7 +163,7 @@ def mix_to_targets(
     fitted = None
     for _ in range(sweeps if pairs else 0):
         fitted = sources.select("s", "cells", factor().alias("a"))
-        sums = {(r.l, r.t): r.w for r in fitted.select("a", F.inline("cells")).groupBy("l", "t").agg(F.sum(F.col("a") * F.col("n")).alias("w")).collect()}
+        sums = dict(sorted(((r.l, r.t), r.w) for r in fitted.select("a", F.inline("cells")).groupBy("l", "t").agg(_sum(F.col("a") * F.col("n")).alias("w")).collect()))
         old = dict(b), dict(c)
         for k in by_lang:
             b[k] = by_lang[k] / sum(w * c[t] for (x, t), w in sums.items() if x == k)
@@ -111,21 +171,17 @@ def mix_to_targets(
             c[k] = by_topic[k] / sum(w * b[x] for (x, t), w in sums.items() if t == k)
         last = old
     if fitted is None:
-        return docs if not details else keyed.select(F.col(id_col).alias("doc_id"), col["source"].alias("source"), col["lang"].alias("lang"), col["topic"].alias("topic"), col["tokens"].alias("n_tokens"), F.lit(1.0).alias("prob"))
+        return chosen(keyed, F.lit(1.0))
+    by = {x: sum(w * b[x] * c[t] for (y, t), w in sums.items() if y == x) / by_lang[x] for x in by_lang}
     # the source factors of the last sweep came before the others' last update
     new = (b, c)
     b, c = last
-    fitted = materialise(sources.select("s", "cells", factor().alias("a")), "mix-fitted")
+    fitted = materialise(sources.select("s", "cells", "want", factor().alias("a")), "mix-fitted")
     b, c = new
+    reached = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x.n * _lookup(b, x.l) * _lookup(c, x.t)) * F.col("a") / (F.col("want") * F.lit(scale))
+    _off(max([abs(x - 1) for x in by.values()] + [fitted.agg(F.max(F.abs(reached - 1))).first()[0] or 0.0]), tolerance)
     rate = F.col("a") * _lookup(b, F.col("l")) * _lookup(c, F.col("t"))
-    rates = materialise(fitted.select("a", F.inline("cells")).select("n", rate.alias("r")), "mix-rates")
-    scale = share
-    for _ in range(steps):  # beyond probability 1 a cell gives no more: the others make up for it
-        capped = F.col("r") * F.lit(scale) >= 1
-        full, rest = rates.agg(F.coalesce(F.sum(F.when(capped, F.col("n"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~capped, F.col("n") * F.col("r"))), F.lit(0.0))).first()
-        if not rest:
-            break
-        scale = (share * total - full) / rest
+    scale = _cap(materialise(fitted.select("a", F.inline("cells")).select("n", rate.alias("r")), "mix-rates"), share, total, steps)
 
     small = fitted.select(F.col("s").alias("__mix_s"), F.col("a").alias("__mix_a"))
     rows, size = small.agg(F.count("*"), F.sum(F.octet_length("__mix_s"))).first()
@@ -133,10 +189,7 @@ def mix_to_targets(
         small = F.broadcast(small)
     joined = keyed.join(small, col["source"] == F.col("__mix_s"), "left")
     prob = F.coalesce(F.least(F.lit(1.0), F.col("__mix_a") * _lookup(b, col["lang"]) * _lookup(c, col["topic"]) * F.lit(scale)), F.lit(1.0))
-    kept = joined.filter(uniform(F.col(id_col).cast("string"), seed) < prob)
-    if details:
-        return kept.select(F.col(id_col).alias("doc_id"), col["source"].alias("source"), col["lang"].alias("lang"), col["topic"].alias("topic"), col["tokens"].alias("n_tokens"), F.round(prob, 6).alias("prob"))
-    return kept.select(*[kept[f"`{x}`"] for x in docs.columns])
+    return chosen(joined, prob)
 
 
 def mixing_sql(share: float = 0.6, powers: tuple[float, float, float] = (0.7, 0.7, 0.9), sweeps: int = 10, steps: int = 6, seed: str = "mix", documents: str = "documents") -> str:
