@@ -1,354 +1,471 @@
 """Scoring texts with a probabilistic suffix tree.
 
 Texts are read as words (A-Z lower-cased, cut at ASCII white space) and one end.
-The tree's symbols are the frequent words (relative count of at least
-``p_symbol``), a class for every frequent two-byte ending of the other words,
-one class for the rest, and the end: at most ``2 / p_symbol + 2`` symbols at any
-input size. A context of 1 to ``max_depth`` symbols is a candidate if its
-relative count is at least ``p_context`` (at most ``1 / p_context`` of a depth);
-it is kept if its next-symbol distribution diverges from that of its longest
-kept suffix by more than the description length of its own. Distributions are
+The tree's symbols are the words that occur ``min_symbol`` times or more, a
+class for each two-byte ending of the other words (for endings that make up
+``min_symbol`` tokens), one class for the rest, and the end. A context of 1 to
+``max_depth`` symbols is tested if it occurs ``min_context`` times or more; it is
+kept if its next-symbol distribution diverges from that of its longest kept
+suffix by more than the description length of its own. Distributions are
 smoothed towards the parent's. A word is scored from the state of the longest
-kept suffix before it, times the word's smoothed share of its class.
-
-Word counts cover every training text. They are never broadcast: documents are
-kept in chunks, distinct words of a chunk travel to buckets, their total counts
-travel back, and each chunk gets a dictionary of its own words alone.
+kept suffix before it, times the word's smoothed share of its class. Both least
+counts are absolute: the tree grows with the corpus.
+
+No part of the model travels whole. Documents are dealt into chunks, each a file
+of its words and of their places. For every depth the distinct continuations of
+a chunk's contexts go to buckets, with their counts and their parents'
+probabilities; there they are summed and the contexts tested, and what a chunk
+asked for comes back to it in the order in which it asked. Contexts that occur
+more than ``hot`` times are dealt by continuation too: their sums are added up
+afterwards, and of these contexts, at most a ``hot``-th part of all tokens, the
+kept ones are broadcast. Symbols are told apart by 64 bits of a hash, those that
+follow one context by 32.
 
 Cases: a null text counts as empty (one token, the end); null ids count as the
 empty string when the parts are drawn; repeated rows are learned and scored as
-often as they occur; with no training text all counts are 0; an empty table
-gives no row; other columns are not read.
+often as they occur; with no training text all counts are 0; very long texts are
+scored whole, a chunk of their own; an empty table gives no row; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.llm.store import AtomicFile, materialise, read_file, shared_dir
+from lumenlit.llm.caches import claim, tidy
+from lumenlit.llm.components import grouped
+from lumenlit.llm.pieces import batches
+from lumenlit.llm.store import AtomicFile, discard, materialise, read_file, shared_dir
+
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_START, _END, _REST = (np.uint64(x) for x in (1, 2, 3))  # hashes of these symbols
+_STEP = 1024.0  # parents' probabilities travel as rounded logarithms
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * _M1
+    x = (x ^ x >> np.uint64(29)) * _M2
+    return x ^ x >> np.uint64(32)
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
 
+def _packed(**arrays) -> bytes:
+    head, body = {}, []
+    for name, x in arrays.items():
+        data = x if isinstance(x, bytes) else x.tobytes()
+        head[name] = [None if isinstance(x, bytes) else x.dtype.str, len(data)]
+        body.append(data)
+    raw, top = b"".join(body), json.dumps(head).encode()
+    small = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return b"".join((len(top).to_bytes(4, "little"), len(raw).to_bytes(8, "little"), top, small))
 
-def words(text: bytes) -> list[bytes]:
-    return text.lower().split()  # of bytes: A-Z only, and the six ASCII white spaces only
 
+def _unpacked(data: bytes) -> dict:
+    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:12], "little")
+    head = json.loads(data[12 : 12 + n])
+    raw = pa.decompress(data[12 + n :], size, codec="zstd", asbytes=True) if size else b""
+    out, at = {}, 0
+    for name, (kind, length) in head.items():
+        out[name] = raw[at : at + length] if kind is None else np.frombuffer(raw, kind, length // np.dtype(kind).itemsize, at)
+        at += length
+    return out
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, learn: Column, docs_per_chunk: int) -> DataFrame:
-    """id, learn, text as bytes, and the chunk: so many rows one after another."""
-    place = F.monotonically_increasing_id()
-    chunk = F.spark_partition_id().cast("long") * F.lit(1 << 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / docs_per_chunk)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return materialise(rows.withColumn("chunk", chunk), "lm-chunks")
 
+def _load(uri: str) -> dict:
+    with read_file(uri) as f:
+        return _unpacked(f.read())
 
-def _runs(stream, names: list[str]):
-    """(chunk, columns as lists) for rows of one chunk that follow one another."""
-    for batch in stream:
-        cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-        chunk = batch.column(batch.schema.get_field_index("chunk")).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            for x in range(a, b, 512):
-                y = min(x + 512, b)
-                yield int(chunk[a]), {n: c.slice(x, y - x).to_pylist() for n, c in cols.items()}
 
+# --- words ----------------------------------------------------------------------------------------------------------
 
-def _count_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
-    """One row for each chunk and bucket of words: the words joined by line
-    feeds, their counts in training texts, and the sum of these."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64())])
+_WORDS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("docs", pa.int64()), ("ends", pa.int64())])
 
-    def flush(chunk, seen: Counter, other: set):
-        own = [*seen, *other.difference(seen)]
-        counts = np.fromiter((seen.get(w, 0) for w in own), np.int64, len(own))
-        bucket = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % n_buckets
+
+class _Chunk:
+    """Documents that are gathered into a file."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.learn, self.lens, self.items, self.size = [], [], [], [], 0
+
+    def add(self, ids: list, learn: np.ndarray, texts: pa.Array) -> None:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), self.place
+        to = np.fromiter((place.setdefault(w, len(place)) if w else -1 for w in words), np.int64, len(words))  # white space at an end makes an empty word
+        items = to[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(count)), count)[items >= 0]
+        self.items.append(items[items >= 0].astype(np.int32))
+        self.lens.append(np.bincount(owner, minlength=len(count)))
+        self.ids += ids
+        self.learn.append(learn)
+        self.size += pc.sum(pc.binary_length(texts)).as_py() or 0
+
+    def close(self, chunk: int, folder: str, n_buckets: int) -> pa.RecordBatch:
+        """Write the file, with the words in the order of their buckets; a row
+        for each bucket."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.place]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n_buckets
         order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        items = rank[np.concatenate(self.items)] if self.items else np.zeros(0, np.int32)
+        lens, learn = np.concatenate(self.lens), np.concatenate(self.learn)
+        counts = np.bincount(items, weights=np.repeat(learn, lens), minlength=len(words)).astype(np.int64)
+        words = [words[i] for i in order.tolist()]
+        with AtomicFile(f"{folder}/{chunk}.tok") as f:
+            f.write(_packed(ids=np.array([0 if i is None else i for i in self.ids], "<i8"), has=np.array([i is not None for i in self.ids], np.uint8), learn=learn.astype(np.uint8), lens=lens.astype("<i8"), items=items, words=b"\n".join(words)))
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        rows = [{"bucket": int(bucket[part[0]]), "chunk": chunk, "words": b"\n".join([own[i] for i in part]), "counts": counts[part].astype("<i8").tobytes(), "tokens": int(counts[part].sum())} for part in np.split(order, cuts) if len(part)]
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        rows = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
+            if b > a:
+                rows.append({"bucket": int(bucket[order[a]]), "chunk": chunk, "words": b"\n".join(words[a:b]), "counts": counts[a:b].tobytes(), "tokens": int(counts[a:b].sum()), "docs": 0, "ends": 0})
+        rows.append({"bucket": -1, "chunk": chunk, "words": b"", "counts": b"", "tokens": 0, "docs": len(lens), "ends": int(learn.sum())})
+        return pa.RecordBatch.from_pylist(rows, schema=_WORDS)
 
-    def run(stream):
-        at, seen, other = None, Counter(), set()
-        for chunk, c in _runs(stream, ["learn", "text"]):
-            if chunk != at:
-                if seen or other:
-                    yield flush(at, seen, other)
-                at, seen, other = chunk, Counter(), set()
-            for learned, text in zip(c["learn"], c["text"]):
-                (seen if learned else other).update(words(text))
-        if seen or other:
-            yield flush(at, seen, other)
-
-    return chunks.select("chunk", "learn", "text").mapInArrow(run, "bucket int, chunk long, words binary, counts binary, tokens long")
-
-
-def _total_counts(partial: DataFrame, least: float) -> DataFrame:
-    """Kind 0: a chunk's words with their counts over the whole input. Kind 1:
-    a word that occurs ``least`` times or more. Kind 2: a two-byte ending, with
-    the tokens and distinct words of the others."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total: dict[bytes, int] = {}
-        rows = [(r.chunk, r.words, r.words.split(b"\n"), np.frombuffer(r.counts, "<i8")) for r in pdf.itertuples()]
-        for _, _, own, counts in rows:
-            for w, c in zip(own, counts.tolist()):
-                total[w] = total.get(w, 0) + c
-        out = [(0, int(chunk), blob, np.fromiter(map(total.__getitem__, own), np.int64, len(own)).astype("<i8").tobytes(), 0, 0) for chunk, blob, own, _ in rows]
-        ends: dict[bytes, list[int]] = {}
-        for w, c in total.items():
-            if c >= least:
-                out.append((1, -1, w, b"", c, 1))
-            elif c:
-                e = ends.setdefault(w[-2:], [0, 0])
-                e[0] += c
-                e[1] += 1
-        out += [(2, -1, w, b"", c, v) for w, (c, v) in ends.items()]
-        return pd.DataFrame(out, columns=["kind", "chunk", "words", "counts", "tokens", "types"])
-
-    return partial.groupBy("bucket").applyInPandas(run, "kind int, chunk long, words binary, counts binary, tokens long, types long")
-
-
-def _write_dictionaries(totals: DataFrame, out: str) -> None:
-    """A file for each chunk: the size of the words, the words, their counts."""
-
-    def write(chunk: int, own: list[bytes], counts: list[bytes]) -> None:
-        with AtomicFile(f"{out}/{chunk}.words") as f:
-            blob = b"\n".join(own)
-            f.write(len(blob).to_bytes(8, "little") + blob + b"".join(counts))
+
+def _chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column, folder: str, chunk_docs: int, chunk_bytes: int, n_buckets: int) -> DataFrame:
+    """Write the chunks. A row for each chunk and bucket of words (joined by
+    line feeds, with their counts in training texts), and one for the chunk."""
 
     def run(stream):
-        at, own, counts = None, [], []
+        from pyspark import TaskContext
+
+        claim("suffix_tree")
+        seq, own = TaskContext.get().partitionId() << 32, _Chunk()
         for batch in stream:
-            for chunk, w, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if chunk != at and own:
-                    write(at, own, counts)
-                    own, counts = [], []
-                at = chunk
-                own.append(w)
-                counts.append(c)
-        if own:
-            write(at, own, counts)
-        yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
+            texts = pc.fill_null(batch.column(2).cast(pa.string()), "")
+            for a, b in batches(texts, chunk_bytes // 4):
+                for x in range(a, b, max(1, chunk_docs // 4)):
+                    y = min(b, x + max(1, chunk_docs // 4))
+                    own.add(batch.column(0).slice(x, y - x).to_pylist(), batch.column(1).slice(x, y - x).to_numpy(zero_copy_only=False).astype(bool), texts.slice(x, y - x))
+                    if len(own.ids) >= chunk_docs or own.size >= chunk_bytes:
+                        yield own.close(seq, folder, n_buckets)
+                        seq, own = seq + 1, _Chunk()
+        if own.ids:
+            yield own.close(seq, folder, n_buckets)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidy(run), "bucket long, chunk long, words binary, counts binary, tokens long, docs long, ends long")
+
+
+def _total_words(partial: DataFrame, least: int) -> DataFrame:
+    """Kind 0: the total counts of a chunk's words of a bucket. Kind 1: how many
+    words reach ``least``, and how many there are. Kind 2: a two-byte ending,
+    with the tokens and distinct words of the others."""
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+
+    def run(stream):
+        claim("suffix_tree")
+        for (bucket,), g in grouped(stream, ["bucket"]):
+            total: dict[bytes, int] = {}
+            own = [x.split(b"\n") for x in g["words"]]
+            for words, counts in zip(own, g["counts"]):
+                for w, c in zip(words, np.frombuffer(counts, "<i8").tolist()):
+                    total[w] = total.get(w, 0) + c
+            rows = [(0, chunk, bucket, np.fromiter(map(total.__getitem__, words), "<i8", len(words)).tobytes(), 0, 0) for chunk, words in zip(g["chunk"], own)]
+            ends: dict[bytes, list[int]] = {}
+            frequent = known = 0
+            for w, c in total.items():
+                known += c > 0
+                frequent += c >= least
+                if 0 < c < least:
+                    e = ends.setdefault(w[-2:], [0, 0])
+                    e[0] += c
+                    e[1] += 1
+            rows.append((1, -1, bucket, b"", frequent, known))
+            rows += [(2, -1, bucket, e, c, v) for e, (c, v) in ends.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    words = partial.filter("bucket >= 0").select("bucket", "chunk", "words", "counts")
+    return words.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(run), "kind int, chunk long, bucket long, data binary, tokens long, types long")
+
+
+def _write_back(rows: DataFrame, folder: str, name: str) -> None:
+    """A file for each chunk: the answers (data) to it, in the order of buckets."""
 
-    totals.filter("kind = 0").select("chunk", "words", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "done int").agg(F.sum("done")).collect()
+    def run(stream):
+        for (chunk,), g in grouped(stream, ["chunk"]):
+            with AtomicFile(f"{folder}/{chunk}.{name}") as f:
+                f.write(_packed(sizes=np.array([len(x) for x in g["data"]], "<i8"), data=b"".join(g["data"])))
+            yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
 
+    done = rows.select("chunk", "bucket", "data").repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(tidy(run), "done int")
+    discard(materialise(done, f"lm-{name}"))
 
-class Symbols:
-    """The symbols and what a word gives within its class.
 
-    Symbol 0 is the start (a context only), 1 the end, 2 the class of the rest.
-    """
+# --- contexts -------------------------------------------------------------------------------------------------------
+
 
-    def __init__(self, frequent: dict[bytes, int], endings: dict[bytes, tuple[int, int]], n: int, n_types: int, ends: int):
-        self.word = {w: i + 3 for i, w in enumerate(sorted(frequent))}
-        at = 3 + len(self.word)
-        self.ending = {e: i + at for i, e in enumerate(sorted(endings))}
-        self.size = at + len(self.ending)
-        self.n, self.n_types = n, n_types
-        self.mass, self.types = np.zeros(self.size), np.zeros(self.size)
-        self.mass[1], self.types[1] = ends, ends > 0
-        for w, i in self.word.items():
-            self.mass[i], self.types[i] = frequent[w], 1
-        for e, i in self.ending.items():
-            self.mass[i], self.types[i] = endings[e]
-        self.mass[2], self.types[2] = n - self.mass.sum(), n_types - self.types.sum()
-
-    def of(self, own: list[bytes]) -> np.ndarray:
-        word, ending = self.word.get, self.ending.get
-        return np.fromiter((word(w) or ending(w[-2:], 2) for w in own), np.int32, len(own))
-
-    def share(self, counts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed share of each word in its class."""
-        shares = np.log10((counts + 0.5) / (self.mass[symbols] + 0.5 * (self.types[symbols] + 1)))
-        alone = (symbols == 1) | (symbols >= 3) & (symbols < 3 + len(self.word))
-        return np.where(alone, 0.0, shares)
+class Model:
+    """What all chunks need to know: sums, the classes of rare words, and which
+    hot contexts of each depth are kept."""
+
+    def __init__(self, n: int, n_types: int, ends: int, n_frequent: int, endings: dict[bytes, tuple[int, int]], rest: tuple[int, int], least: int, min_context: int, weight: float, hot: int, n_buckets: int):
+        self.n, self.n_types, self.ends, self.endings, self.rest = n, n_types, ends, endings, rest
+        self.least, self.min_context, self.weight, self.hot, self.n_buckets = least, min_context, weight, hot, n_buckets
+        self.norm = n + 0.5 * (n_frequent + len(endings) + 2)
+        self.hot_kept: list[np.ndarray] = []
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.n_types + 1)))
 
 
-def _symbolise(chunks: DataFrame, dictionaries: str, symbols: Symbols) -> DataFrame:
-    """One row per document: its symbols (uint16, with the end), tokens, known
-    tokens, base score, and the shares of its words in their classes."""
-    kind = "id long, learn boolean, symbols binary, n_tokens long, n_known long, base double, share double"
-    schema = pa.schema([("id", pa.int64()), ("learn", pa.bool_()), ("symbols", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64())])
+class State:
+    """A chunk as far as its answers go."""
+
+    def __init__(self, folder: str, chunk: int, model: Model):
+        tok = _load(f"{folder}/{chunk}.tok")
+        words = tok["words"].split(b"\n") if tok["words"] else []
+        counts = np.frombuffer(_load(f"{folder}/{chunk}.words")["data"], "<i8") if words else np.zeros(0, np.int64)
+        self.folder, self.chunk, self.model, self.depth = folder, chunk, model, 0
+        self.ids, self.learn, self.lens = [i if h else None for i, h in zip(tok["ids"].tolist(), tok["has"].tolist())], tok["learn"].astype(bool), tok["lens"]
+        hashes, mass, share = np.empty(len(words), np.uint64), counts.astype(float), np.zeros(len(words))
+        rare = counts < model.least
+        often = np.flatnonzero(~rare)
+        hashes[often] = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in often.tolist()), np.uint64, len(often))
+        own = np.flatnonzero(rare)
+        known = [model.endings.get(words[i][-2:]) for i in own.tolist()]
+        if len(own):
+            hashes[own] = np.fromiter((_REST if k is None else xxhash.xxh3_64_intdigest(b"\0" + words[i][-2:]) for i, k in zip(own.tolist(), known)), np.uint64, len(own))
+            tokens, types = (np.array([(k or model.rest)[j] for k in known], float) for j in (0, 1))
+            mass[own] = tokens
+            share[own] = np.log10((counts[own] + 0.5) / (tokens + 0.5 * (types + 1)))
+        # symbols of this chunk: 0 the start, 1 the end
+        every = np.concatenate((np.array([_START, _END]), hashes))
+        self.hash, first, to = np.unique(every, return_index=True, return_inverse=True)
+        self.mass = np.concatenate(([model.ends, model.ends], mass))[first]
+        n, starts = len(tok["items"]), np.cumsum(self.lens + 2) - (self.lens + 2)
+        seq = np.empty(n + 2 * len(self.lens), np.int32)
+        inner = np.ones(len(seq), bool)
+        inner[starts] = inner[starts + self.lens + 1] = False
+        seq[inner] = to[2 + tok["items"]]
+        seq[starts], seq[starts + self.lens + 1] = to[0], to[1]
+        self.seq, self.starts = seq, starts
+        self.predicted = np.ones(len(seq), bool)
+        self.predicted[starts] = False
+        self.learned = np.repeat(self.learn, self.lens + 2) & self.predicted
+        end_base = float(model.base(np.array([model.ends]))[0])
+        base, known = model.base(counts), counts > 0
+        text = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.base = np.bincount(text, weights=base[tok["items"]], minlength=len(self.lens)) + end_base
+        self.known = np.bincount(text, weights=known[tok["items"]], minlength=len(self.lens)).astype(np.int64) + int(model.ends > 0)
+        self.share = np.bincount(text, weights=share[tok["items"]], minlength=len(self.lens))
+        self.p = ((self.mass + 0.5) / model.norm)[seq]
+        # of the next depth: where each place's context stands in these lists
+        self.context = np.concatenate(([-1], seq[:-1].astype(np.int64)))
+        self.context_hash, self.context_total = _mix(self.hash), self.mass
+        self.context[~self.predicted] = -1
+
+    def ask(self) -> None:
+        """The distinct continuations of this depth's contexts, by bucket."""
+        model, size = self.model, np.int64(len(self.hash))
+        ok = np.flatnonzero((self.context >= 0) & (self.context_total[np.maximum(self.context, 0)] >= model.min_context)) if len(self.context_total) else np.zeros(0, np.int64)
+        code, pairs = pd.factorize(self.context[ok] * size + self.seq[ok])
+        context, following = pairs // size, pairs % size
+        hashes, total = self.context_hash[context], self.context_total[context].astype(np.int64)
+        following_hash = _mix(self.hash[following])
+        salt = np.where(total > model.hot, (following_hash >> np.uint64(20)).astype(np.int64) % np.maximum(1, -(-total // model.hot)), 0)
+        bucket = ((hashes >> np.uint64(1)).astype(np.int64) % model.n_buckets + salt) % model.n_buckets
+        order = np.lexsort((pairs, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair = np.full(len(self.seq), -1)
+        self.pair[ok] = rank[code]
+        self.counts = np.bincount(rank[code], weights=self.learned[ok], minlength=len(pairs)).astype(np.int64)
+        first = np.empty(len(pairs), np.int64)
+        first[rank[code][::-1]] = ok[::-1]
+        self.parent = np.rint(np.log2(self.p[first]) * _STEP / 4).astype(np.int16)  # to a 256th; from 2^-128 on
+        self.bucket, self.pair_total_of = bucket[order], total[order]
+        self.hashes, self.following = hashes[order], following_hash[order].astype(np.uint32)
+        self.run = np.concatenate(([True], (np.diff(self.bucket) != 0) | (self.hashes[1:] != self.hashes[:-1]))) if len(order) else np.zeros(0, bool)
+
+    def requests(self):
+        """(bucket, bytes) of what was asked."""
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(self.bucket)) + 1, [len(self.bucket)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b > a:
+                run = np.flatnonzero(self.run[a:b])
+                yield int(self.bucket[a]), _request(self.hashes[a:b][run], self.pair_total_of[a:b][run], np.diff(np.append(run, b - a)), self.following[a:b], self.counts[a:b], self.parent[a:b])
+
+    def answer(self) -> None:
+        """Take the answers of this depth: probabilities, and the contexts of
+        the next."""
+        model, n = self.model, len(self.bucket)
+        totals, kept = np.zeros(n, np.int64), np.zeros(n, bool)
+        if n:
+            got = _load(f"{self.folder}/{self.chunk}.d{self.depth}")
+            runs, at, done = np.cumsum(self.run) - 1, 0, 0
+            flags = np.zeros(int(self.run.sum()), np.uint8)
+            for size in got["sizes"].tolist():
+                data = got["data"][at : at + size]
+                at += size
+                pairs = int.from_bytes(data[:4], "little")
+                totals[done : done + pairs] = np.frombuffer(data, "<i8", pairs, 4)
+                lo = runs[done]
+                own = np.frombuffer(data, np.uint8, offset=4 + 8 * pairs)
+                flags[lo : lo + len(own)] = own
+                done += pairs
+            hot = flags == 2
+            if hot.any():
+                flags[hot] = np.isin(self.hashes[self.run][hot], model.hot_kept[self.depth])
+            kept = flags[runs] == 1
+        at = np.flatnonzero(self.pair >= 0)
+        pair = self.pair[at]
+        better = kept[pair]
+        self.p[at[better]] = (totals[pair[better]] + model.weight * self.p[at[better]]) / (self.pair_total_of[pair[better]] + model.weight)
+        self.context = np.concatenate(([-1], self.pair[:-1]))
+        self.context[~self.predicted] = -1
+        self.context_hash, self.context_total = _mix(self.hashes * _M1 + self.following.astype(np.uint64) + np.uint64(1)), totals
+        self.depth += 1
+
+    def scores(self) -> np.ndarray:
+        logs = np.where(self.predicted, np.log10(self.p), 0.0)
+        return np.add.reduceat(logs, self.starts) + self.share if len(self.starts) else np.zeros(0)
+
+
+def _request(hashes, totals, lens, following, counts, parent) -> bytes:
+    head = np.array([len(hashes), len(following)], "<i4").tobytes()
+    return head + hashes.astype("<u8").tobytes() + totals.astype("<i8").tobytes() + lens.astype("<i4").tobytes() + following.astype("<u4").tobytes() + counts.astype("<i4").tobytes() + parent.astype("<i2").tobytes()
+
+
+def _parsed(data: bytes):
+    c, n = np.frombuffer(data, "<i4", 2).tolist()
+    out, at = [], 8
+    for kind, m in (("<u8", c), ("<i8", c), ("<i4", c), ("<u4", n), ("<i4", n), ("<i2", n)):
+        out.append(np.frombuffer(data, kind, m, at))
+        at += out[-1].nbytes
+    return out
+
+
+def diverges(gain, continuations, total):
+    """The test: more than the description length of the distribution."""
+    return gain > 0.5 * (continuations - 1) * np.log(total) + np.log(total)
+
+
+def _sums(data: list[bytes], weight: float, hot: int):
+    """Of one bucket: the answers to all requests, and (hash, total, gain,
+    parents' mass, continuations) of each hot context."""
+    parsed = [_parsed(x) for x in data]
+    hashes, total, lens, following, counts, parent = (np.concatenate(c) for c in zip(*parsed))
+    own = np.repeat(hashes, lens)
+    key, place = np.unique(_mix(own * _M1 + following.astype(np.uint64)), return_inverse=True)
+    n = np.bincount(place, weights=counts, minlength=len(key))
+    first = np.empty(len(key), np.int64)
+    first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+    context, where = np.unique(hashes, return_inverse=True)
+    of = np.repeat(where, lens)[first]
+    size = np.empty(len(context))
+    size[where] = total
+    p, T = 2.0 ** (parent[first] * 4 / _STEP), size[of]
+    q = (n + weight * p) / (T + weight)
+    seen = n > 0
+    add = lambda x: np.bincount(of[seen], weights=x[seen], minlength=len(context))
+    gain, mass, k = add(q * np.log(q / p)), add(p), add(np.ones(len(q)))
+    is_hot = size > hot
+    flags = np.where(is_hot, 2, diverges(_gain(gain, mass, size, weight), k, size)).astype(np.uint8)
+    answers, at, at_pair = [], 0, 0
+    for h, _, _, f, _, _ in parsed:
+        answers.append(len(f).to_bytes(4, "little") + n[place[at_pair : at_pair + len(f)]].astype("<i8").tobytes() + flags[where[at : at + len(h)]].tobytes())
+        at, at_pair = at + len(h), at_pair + len(f)
+    return answers, [(int(context.astype(np.int64)[i]), float(size[i]), float(gain[i]), float(mass[i]), float(k[i])) for i in np.flatnonzero(is_hot)]
+
+
+def _gain(gain, mass, total, weight):
+    """Divergence from the parent times the total: what was not seen keeps the
+    same share of its parent's probability."""
+    rest = weight / (total + weight)
+    return total * (gain + rest * np.maximum(0.0, 1.0 - mass) * np.log(rest))
+
+
+def _state(folder: str, chunk: int, model: Model, depth: int) -> State:
+    own = State(folder, chunk, model)
+    for _ in range(depth):
+        own.ask()
+        own.answer()
+    return own
+
+
+def _count_contexts(listed: DataFrame, folder: str, shared, depth: int) -> DataFrame:
+    """Kind 0: the answer to a chunk from a bucket. Kind 1: sums of a hot
+    context, packed."""
+    requests = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("total", pa.float64()), ("gain", pa.float64()), ("mass", pa.float64()), ("k", pa.float64())])
+
+    def ask(stream):
+        claim("suffix_tree")
+        for batch in stream:
+            for chunk in batch.column(0).to_pylist():
+                own = _state(folder, chunk, shared.value, depth)
+                own.ask()
+                rows = list(own.requests())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=requests)
 
     def run(stream):
-        at, ends = None, np.array([symbols.mass[1]])
-        end_base, end_known = float(symbols.base(ends)[0]), int(ends[0] > 0)
-        for chunk, c in _runs(stream, ["id", "learn", "text"]):
-            split = [words(t) for t in c["text"]]
-            if chunk != at and any(split):
-                data = read_file(f"{dictionaries}/{chunk}.words").read()
-                size = int.from_bytes(data[:8], "little")
-                own = data[8 : 8 + size].split(b"\n")
-                counts = np.frombuffer(data, "<i8", offset=8 + size)
-                place, sym = {w: i for i, w in enumerate(own)}, symbols.of(own)
-                base, share, known = symbols.base(counts), symbols.share(counts, sym), counts > 0
-                at = chunk
-            rows = []
-            for i, learned, ws in zip(c["id"], c["learn"], split):
-                if ws:
-                    x = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-                    s, n, b, h = sym[x], int(known[x].sum()), float(base[x].sum()), float(share[x].sum())
-                else:
-                    s, n, b, h = np.zeros(0, np.int32), 0, 0.0, 0.0
-                rows.append({"id": i, "learn": learned, "symbols": np.append(s, 1).astype("<u2").tobytes(), "n_tokens": len(ws) + 1, "n_known": n + end_known, "base": b + end_base, "share": h})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return chunks.select("chunk", "id", "learn", "text").mapInArrow(run, kind)
-
-
-def _sequence(texts: list[bytes]) -> np.ndarray:
-    """Symbols of all texts one after another, a start before each."""
-    return np.concatenate([np.frombuffer(b"\0\0" + t, "<u2") for t in texts]).astype(np.int64)
-
-
-def _contexts(seq: np.ndarray, depth: int, size: int):
-    """Where a context of this length stands before a symbol, and its code."""
-    ok = seq != 0
-    code = np.zeros(len(seq), np.int64)
-    for k in range(1, depth + 1):
-        before = np.concatenate((np.zeros(k, np.int64), seq[:-k]))[: len(seq)]
-        if k > 1:  # no further back than the start
-            nearer = np.concatenate((np.zeros(k - 1, np.int64), seq[: 1 - k]))[: len(seq)]
-            ok &= nearer != 0
-        code += before * size ** (k - 1)
-    at = np.flatnonzero(ok)
-    return at, code[at]
-
-
-def _find(sorted_codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Place of each code, -1 where it isn't there."""
-    if not len(sorted_codes):
-        return np.full(len(code), -1)
-    i = np.minimum(np.searchsorted(sorted_codes, code), len(sorted_codes) - 1)
-    return np.where(sorted_codes[i] == code, i, -1)
-
-
-def _count_contexts(table: DataFrame, candidates: np.ndarray, depth: int, size: int) -> np.ndarray:
-    """Next-symbol counts, a row for each candidate; summed on the executors."""
+        claim("suffix_tree")
+        model = shared.value
+        for (bucket,), g in grouped(stream, ["bucket"]):
+            answers, hot = _sums(g["data"], model.weight, model.hot)
+            rows = [(0, chunk, bucket, x, 0.0, 0.0, 0.0, 0.0) for chunk, x in zip(g["chunk"], answers)]
+            rows += [(1, context, bucket, b"", *sums) for context, *sums in hot]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def run(stream):
-        counts = np.zeros(len(candidates) * size, np.int64)
-        for batch in stream:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 256):
-                seq = _sequence(texts[lo : lo + 256])
-                at, code = _contexts(seq, depth, size)
-                i = _find(candidates, code)
-                key = i[i >= 0] * size + seq[at][i >= 0]
-                counts += np.bincount(key, minlength=len(counts))
-        full = np.flatnonzero(counts)
-        for lo in range(0, len(full), 50_000):
-            part = full[lo : lo + 50_000]
-            yield pa.RecordBatch.from_pydict({"key": part, "n": counts[part]})
-
-    found = table.filter("learn").select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(candidates) * size)
-    out[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return out.reshape(len(candidates), size)
-
-
-class SuffixTree:
-    """Kept contexts by depth: sorted codes, and the log10 of each one's
-    smoothed distribution."""
-
-    def __init__(self, root: np.ndarray):
-        self.size, self.root = len(root), root
-        self.codes: list[np.ndarray] = []
-        self.logs: list[np.ndarray] = []
-
-    def state(self, code: int, depth: int) -> np.ndarray:
-        """Distribution of the longest kept suffix of at most ``depth`` symbols."""
-        for d in range(depth, 0, -1):
-            own = code % self.size**d
-            i = int(_find(self.codes[d - 1], np.array([own]))[0])
-            if i >= 0:
-                return 10.0 ** self.logs[d - 1][i].astype(float)
-        return self.root
-
-    def add_depth(self, codes: np.ndarray, counts: np.ndarray, weight: float) -> None:
-        """Keep the contexts that pass the divergence test."""
-        kept, logs, depth = [], [], len(self.codes) + 1
-        for code, n in zip(codes.tolist(), counts):
-            total = n.sum()
-            if not total:
-                continue
-            parent = self.state(code, depth - 1)
-            own = (n + weight * parent) / (total + weight)
-            gain = total * float(np.sum(np.where(own > 0, own * np.log(np.maximum(own, 1e-300) / np.maximum(parent, 1e-300)), 0.0)))
-            if gain > 0.5 * (np.count_nonzero(n) - 1) * np.log(total) + np.log(total):
-                kept.append(code)
-                logs.append(np.log10(np.maximum(own, 1e-300)).astype(np.float32))
-        self.codes.append(np.array(kept, np.int64))
-        self.logs.append(np.array(logs, np.float32).reshape(len(kept), self.size))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text's symbols."""
-        seq = _sequence(texts)
-        starts = np.flatnonzero(seq == 0)
-        logs = np.log10(np.maximum(self.root, 1e-300))[seq]
-        logs[starts] = 0.0
-        for d in range(1, len(self.codes) + 1):
-            at, code = _contexts(seq, d, self.size)
-            i = _find(self.codes[d - 1], code)
-            at, i = at[i >= 0], i[i >= 0]
-            if len(i):
-                logs[at] = self.logs[d - 1][i, seq[at]]
-        return np.add.reduceat(logs, starts)
-
-
-def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, p_symbol: float = 1e-3, p_context: float = 1e-3, max_depth: int = 3, weight: float = 20.0, docs_per_chunk: int = 4096) -> DataFrame:
+    asked = listed.mapInArrow(tidy(ask), "bucket long, chunk long, data binary")
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(run), "kind int, chunk long, bucket long, data binary, total double, gain double, mass double, k double")
+
+
+def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, min_symbol: int = 8, min_context: int = 32, max_depth: int = 3, weight: float = 20.0, docs_per_chunk: int = 4096, chunk_bytes: int = 12_000_000, hot: int = 1_000_000) -> DataFrame:
     """Learn from the rows where ``learn`` holds (default: all), score all.
 
     Returns id, learned, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    chunks = _chunked(docs, id_col, text_col, F.lit(True) if learn is None else learn, docs_per_chunk)
-    n_docs, ends, n_chunks = chunks.agg(F.count("*"), F.count_if("learn"), F.count_distinct("chunk")).first()
-    partial = materialise(_count_words(chunks, max(64, min(65536, 2 * n_chunks))), "lm-words")
-    n = int(partial.agg(F.sum("tokens")).first()[0] or 0) + ends
-    totals = materialise(_total_counts(partial, max(1.0, p_symbol * n)), "lm-totals")
-    dictionaries = shared_dir(spark, "lm-dictionaries")
-    _write_dictionaries(totals, dictionaries)
-    by_ending = totals.filter("kind = 2").groupBy("words").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
-    types = totals.filter("kind > 0").agg(F.sum("types")).first()[0] or 0
-    frequent = {bytes(r.words): r.tokens for r in totals.filter("kind = 1").select("words", "tokens").collect()}  # at most 1 / p_symbol
-    endings = {bytes(r.words): (r.tokens, r.types) for r in by_ending.filter(F.col("tokens") >= p_symbol * n).collect()}  # likewise
-    symbols = Symbols(frequent, endings, n, int(types) + (ends > 0), ends)
-    table = materialise(_symbolise(chunks, dictionaries, symbols), "lm-symbols")
-
-    size = symbols.size
-    root = np.maximum(symbols.mass, 0) + 0.5
-    root[0] = 0.0
-    tree = SuffixTree(root / root.sum())
-    codes, mass = np.arange(size), symbols.mass.copy()
-    mass[0], mass[1] = ends, 0  # the start stands before every text, the end before none
-    codes = codes[mass >= max(1.0, p_context * n)]
-    for depth in range(1, max_depth + 1):
-        if not len(codes):
-            break
-        counts = _count_contexts(table, codes, depth, size)
-        tree.add_depth(codes, counts, weight)
-        i, s = np.nonzero(counts >= max(1.0, p_context * n))
-        codes = np.sort((codes[i] * size + s)[s != 1])
-
-    packed = spark.sparkContext.broadcast(tree)  # at most max_depth / p_context rows of 2 / p_symbol + 2 numbers
+    folder = shared_dir(spark, "lm")
+    learn = F.lit(True) if learn is None else learn
+    size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    n_buckets = max(64, 2 * max((size[0] or 0) // docs_per_chunk, (size[1] or 0) // chunk_bytes))
+    partial = materialise(_chunks(docs, id_col, text_col, learn, folder, docs_per_chunk, chunk_bytes, n_buckets), "lm-words")
+    words, ends, n_chunks = partial.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0)), F.count_if(F.col("bucket") < 0)).first()
+    listed = materialise(partial.filter("bucket < 0").select("chunk"), "lm-chunks").repartition(max(1, min(n_chunks, 10_000)), "chunk")
+    totals = materialise(_total_words(partial, min_symbol), "lm-totals")
+    _write_back(totals.filter("kind = 0"), folder, "words")
+    frequent, types = totals.filter("kind = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    endings = totals.filter("kind = 2").groupBy("data").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()  # 65,536 at most, and of one byte
+    discard(partial, totals)
+    large = {bytes(r.data): (r.tokens, r.types) for r in endings if r.tokens >= min_symbol}
+    small = [r for r in endings if r.tokens < min_symbol]
+    n = words + ends
+    model = Model(n, types + (ends > 0), ends, frequent, large, (sum(r.tokens for r in small), sum(r.types for r in small)), min_symbol, min_context, weight, hot, n_buckets)
+
+    for depth in range(max_depth if n_chunks else 0):
+        counted = materialise(_count_contexts(listed, folder, spark.sparkContext.broadcast(model), depth), f"lm-depth{depth}")
+        _write_back(counted.filter("kind = 0"), folder, f"d{depth}")
+        hots = counted.filter("kind = 1").groupBy("chunk").agg(F.max("total").alias("total"), F.sum("gain").alias("gain"), F.sum("mass").alias("mass"), F.sum("k").alias("k")).collect()  # at most a hot-th part of all tokens
+        kept = [r.chunk for r in hots if diverges(_gain(r.gain, r.mass, r.total, weight), r.k, r.total)]
+        model.hot_kept.append(np.array(kept, np.int64).astype(np.uint64))
+        discard(counted)
+
+    packed = spark.sparkContext.broadcast(model)  # 65,536 endings, and the hot contexts
     schema = pa.schema([("id", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(stream):
+        claim("suffix_tree")
         for batch in stream:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                get = lambda k, part=part: part.column(part.schema.get_field_index(k))
-                score = packed.value.score(get("symbols").to_pylist()) + get("share").to_numpy()
-                yield pa.RecordBatch.from_arrays([get("id"), get("learn"), get("n_tokens"), get("n_known"), pa.array(np.full(part.num_rows, n, np.int64)), get("base"), pa.array(score)], schema=schema)
+            for chunk in batch.column(0).to_pylist():
+                own = _state(folder, chunk, packed.value, max_depth)
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids, pa.int64()), pa.array(own.learn), pa.array(own.lens + 1), pa.array(own.known), pa.array(np.full(len(own.ids), n, np.int64)), pa.array(own.base), pa.array(own.scores())], schema=schema)
 
-    return table.mapInArrow(run, "id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return listed.mapInArrow(tidy(run), "id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
