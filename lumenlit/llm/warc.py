@@ -1,7 +1,8 @@
 """WARC archives: writing, normalising monolithic gzip streams, reading back.
 
 The writer makes archives that are one gzip stream each, as many crawlers'
-exports are. The normaliser inflates such a stream once, piece by piece,
+exports are: a warcinfo record, then responses with an HTTP message as block, and
+revisits that name the record of the response they repeat. The normaliser inflates such a stream once, piece by piece,
 rewrites every record as a gzip member of its own and writes a sidecar index
 (tab-separated: record id, type, page id, offset, length). The reader fetches
 single members by that index.
@@ -9,8 +10,9 @@ single members by that index.
 Cases: a null payload counts as empty; equal payloads of at least
 ``min_bytes`` bytes are kept once, in the record of the smallest page id (all
 rows of that id are responses, others are revisits); rows without a page id are
-responses, and a group without any page id has no revisits; an empty table
-gives no archive; other columns are not read.
+responses, and a group without any page id has no revisits; every record has an
+id of its own, also where rows repeat; characters that a URI can't hold are
+escaped as UTF-8; an empty table gives no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.llm.store import AtomicFile, read_file
+from lumenlit.llm.caches import tidy
+from lumenlit.llm.store import AtomicFile, materialise, read_file
 
 _PIECE = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,54 +39,80 @@ def base32_sha1(payload: bytes) -> str:
 
 def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int, url_col: str | None) -> DataFrame:
     """page_id, url, payload (binary), refers_to: the smallest id among equal
-    payloads, for rows that are not that one. Only digests are grouped; the
-    groups of one are dropped before the join."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    keyed = rows.withColumn("digest", F.sha1("payload"))
-    firsts = keyed.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    other = (F.col("first") != F.col("page_id")) & F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_bytes)
-    return keyed.join(firsts, "digest", "left").select("page_id", "url", "payload", F.when(other, F.col("first")).alias("refers_to"))
-
-
-def _record(page_id, url, payload: bytes, refers_to) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
-    block = payload if refers_to is None else b""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}:{kind}")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Payload-Length: {len(payload)}"]
+    payloads, for rows that are not that one; named: the row that these name.
+    Only digests are grouped, and of the groups those of several rows travel to
+    the pages: as a broadcast while they are few."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    long_enough = F.octet_length("payload") >= min_bytes
+    keyed = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    once = keyed.filter(long_enough).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count("*").alias("n"))
+    firsts = materialise(once.filter("n > 1 and first is not null").select("digest", "first"), "warc-firsts")
+    if firsts.count() <= 200_000:  # 50 bytes a row
+        firsts = F.broadcast(firsts)
+    other = (F.col("first.page_id") != F.col("page_id")) & long_enough
+    joined = keyed.join(firsts, "digest", "left")
+    return joined.select("page_id", "url", "payload", F.when(other, F.col("first.page_id")).alias("refers_to"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(False)).alias("named"))
+
+
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
+
+
+def _escaped(url: str) -> str:
+    return "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
+
+
+def _wrapped(fields: list[str], block: bytes) -> bytes:
+    digest = f"WARC-Block-Digest: sha1:{base32_sha1(block)}"
+    return "\r\n".join(["WARC/1.1", *fields, digest, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info_record(name: str, date: str) -> bytes:
+    block = b"software: lumenlit\r\nformat: WARC File Format 1.1\r\n"
+    return _wrapped(["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('info', name)}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
+
+
+def _record(page_id, url, payload: bytes, refers_to, named: bool = True, place: str = "", date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A record of a page. The one that revisits name gets an id made from page
+    and payload, so that they know it; others get one made from their place."""
+    kind, digest = "response" if refers_to is None else "revisit", base32_sha1(payload)
+    name = record_id("named", page_id, digest) if named else record_id(kind, place, page_id, digest)
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url:
-        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url))
+        head.append(f"WARC-Target-URI: {_escaped(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: {record_id('named', refers_to, digest)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {_PROFILE}"]
+    head.append("Content-Type: application/http; msgtype=response")
+    return _wrapped(head, http + payload if refers_to is None else http)
 
 
-def write_monolithic(marked: DataFrame, out: str, bytes_per_file: int = 64 << 20, level: int = 3) -> DataFrame:
+def write_monolithic(marked: DataFrame, out: str, bytes_per_file: int = 64 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archives of one gzip stream each; one row (uri) per archive. A task
     holds one record at a time."""
 
     def write(stream):
         from pyspark import TaskContext
 
-        part, seq, held, file, pack, uri = TaskContext.get().partitionId(), 0, 0, None, None, ""
+        part, seq, held, n, file, pack, uri = TaskContext.get().partitionId(), 0, 0, 0, None, None, ""
         made = []
         try:
-            for batch in stream:
-                for r in batch.to_pylist():
-                    if file is None:
-                        uri = f"{out}/raw-{part:06d}-{seq:04d}.warc.gz"
-                        file = AtomicFile(uri)
-                        pack, held = zlib.compressobj(level, zlib.DEFLATED, 31), 0
-                    data = _record(r["page_id"], r["url"], r["payload"], r["refers_to"])
-                    held += len(data)
-                    file.stream.write(pack.compress(data))
-                    if held >= bytes_per_file:
-                        file.stream.write(pack.flush())
-                        file.__exit__(None, None, None)
-                        file, seq = None, seq + 1
-                        made.append(uri)
+            for r in (r for batch in stream for lo in range(0, batch.num_rows, 256) for r in batch.slice(lo, 256).to_pylist()):
+                if file is None:
+                    uri = f"{out}/raw-{part:06d}-{seq:04d}.warc.gz"
+                    file = AtomicFile(uri)
+                    pack, held, n = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
+                    file.stream.write(pack.compress(info_record(uri.rsplit("/", 1)[1], date)))
+                data = _record(r["page_id"], r["url"], r["payload"], r["refers_to"], r["named"], f"{part}-{seq}-{n}", date)
+                held, n = held + len(data), n + 1
+                file.stream.write(pack.compress(data))
+                if held >= bytes_per_file:
+                    file.stream.write(pack.flush())
+                    file.__exit__(None, None, None)
+                    file, seq = None, seq + 1
+                    made.append(uri)
             if file is not None:
                 file.stream.write(pack.flush())
                 file.__exit__(None, None, None)
@@ -96,7 +125,7 @@ def write_monolithic(marked: DataFrame, out: str, bytes_per_file: int = 64 << 20
         if made:
             yield pa.RecordBatch.from_pydict({"uri": made})
 
-    return marked.mapInArrow(write, "uri string")
+    return marked.mapInArrow(tidy(write), "uri string")
 
 
 class _Inflated:
@@ -176,7 +205,7 @@ def normalise(archives: DataFrame, out: str) -> DataFrame:
                 to = f"{out}/{uri.rsplit('/', 1)[1]}"
                 yield pa.RecordBatch.from_pydict({"uri": [to], "records": [normalise_archive(uri, to)]})
 
-    return archives.select("uri").mapInArrow(run, "uri string, records long")
+    return archives.select("uri").mapInArrow(tidy(run), "uri string, records long")
 
 
 def read_record(file, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -199,14 +228,18 @@ def read_archives(archives: DataFrame, verify: bool = True) -> DataFrame:
                 for line in read_file(uri + ".idx").read().decode().splitlines():
                     offset, length = map(int, line.split("\t")[3:5])
                     f, block = read_record(file, offset, length)
+                    if f["warc-type"] not in ("response", "revisit"):
+                        continue
+                    if f.get("content-type", "").startswith("application/http"):
+                        block = block.partition(b"\r\n\r\n")[2]
                     kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
                     n = len(block) if kind == "response" else int(f["x-payload-length"])
                     if verify and kind == "response":
                         digest = base32_sha1(block)
                         if f["warc-payload-digest"] != "sha1:" + digest:
                             raise ValueError(f"{uri}: the payload at {offset} is damaged")
-                    to = f.get("warc-refers-to")
-                    rows.append({"page_id": int(f["x-page-id"]) if "x-page-id" in f else None, "url": f.get("warc-target-uri"), "record_type": kind, "payload_digest": digest, "payload_bytes": n, "refers_to": int(to.strip("<>").rpartition(":")[2]) if to else None, "payload": block if kind == "response" else None})
+                    to = f.get("x-refers-to-page")
+                    rows.append({"page_id": int(f["x-page-id"]) if "x-page-id" in f else None, "url": f.get("warc-target-uri"), "record_type": kind, "payload_digest": digest, "payload_bytes": n, "refers_to": int(to) if to else None, "payload": block if kind == "response" else None})
                     held += len(block)
                     if held > 16 * _PIECE or len(rows) >= 2000:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -214,7 +247,7 @@ def read_archives(archives: DataFrame, verify: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return archives.select("uri").mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return archives.select("uri").mapInArrow(tidy(run), "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def warc_roundtrip(pages: DataFrame, out: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", min_bytes: int = 0) -> DataFrame:
