@@ -1,13 +1,14 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-Each template is a line of licence words with key phrases that must stand in
-the text word by word. Its index entry is the template's anchor: the word of
-its key phrase with the highest inverse document frequency over the whole
-input. A file's licence words are looked up by their anchors; the place of an
-anchor minus its place in the template gives the template's place in the file.
+Each template is a licence's notice, or a line that names it, with a key phrase
+that must stand in the text word by word. Its index entries are the two words of
+its key phrase with the highest inverse document frequency over the whole input,
+and where they stand in the template. Of the templates whose key words a file
+holds, these two words are looked up; the places of the one, and of the other,
+less their places in the template, must agree on where the template begins.
 There the key phrase is verified, and the other words of the template are
-counted at their relative positions. A place counts if the key phrase stands
-and ``coverage`` of the template's words do.
+counted at their relative positions. A place counts if the key phrase stands and
+``coverage`` of the template's words do.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 
@@ -62,6 +63,19 @@ TEMPLATES = (
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("creative-commons", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     Template("public-domain", "released into the public domain", "public domain"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "obtaining a copy of this software and associated documentation files"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted"),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "may not use this file except in compliance with the license"),
+    Template("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "free software foundation either version 3 of the license"),
+    Template("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "free software foundation either version 2 of the license"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl was not distributed with this file"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,38 +107,40 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = sorted({w for t in templates for w in t.key_parts})
     text = spaced_words(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("spaced"))
-    n, df = document_frequencies(rows.select(F.split(F.lower("spaced"), " ").alias("words")), vocabulary)
     cut = F.split(F.translate("spaced", _UPPER, _LOWER), " ")
-    rare = {w: -df.get(w, 0) for w in vocabulary}  # ordered as by inverse document frequency
+    n, df = document_frequencies(rows.select(cut.alias("words")), vocabulary)
 
-    postings = []
+    postings, anchors, looked = [], set(), set()
     for i, t in enumerate(templates):
-        anchor = max(t.key_parts, key=lambda w: (rare[w], w))
-        at = t.key_at + t.key_parts.index(anchor)
-        postings.append(F.struct(F.lit(i).alias("t"), F.lit(anchor).alias("anchor"), F.lit(at).alias("at"), F.lit(t.key_at).alias("key_at"), _strings(t.key_parts).alias("key"), _strings(t.parts).alias("parts")))
-    anchors = sorted({max(t.key_parts, key=lambda w: (rare[w], w)) for t in templates})
-
-    def places_of(words: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h.w.isin(anchors))
-
-        def place(h: Column, p: Column) -> Column:
-            start = h.i - p.at
+        # by inverse document frequency: the rarest two words of the key phrase
+        rare = sorted(set(t.key_parts), key=lambda w: (df.get(w, 0), w))
+        first, second = rare[0], rare[min(1, len(rare) - 1)]
+        anchors.add(first)
+        looked |= {first, second}
+        at = [F.lit(t.key_at + t.key_parts.index(w)) for w in (first, second)]
+        postings.append(F.struct(F.lit(i).alias("t"), F.lit(first).alias("w1"), at[0].alias("o1"), F.lit(second).alias("w2"), at[1].alias("o2"), F.lit(t.key_at).alias("key_at"), _strings(t.key_parts).alias("key"), _strings(t.parts).alias("parts")))
+
+    def places_of(words: Column, present: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h.w.isin(sorted(looked)))
+
+        def place(start: Column, p: Column) -> Column:
             key_at = start + p.key_at
-            stands = (key_at >= 0) & (F.slice(words, F.greatest(key_at, F.lit(0)) + 1, F.size(p.key)) == p.key)
+            stands = F.slice(words, key_at + 1, F.size(p.key)) == p.key
             hit = F.filter(p.parts, lambda w, j: F.try_element_at(words, F.when(start + j >= 0, start + j + 1).otherwise(F.size(words) + 1)) == w)
             return F.struct(p.t.alias("t"), key_at.alias("first"), F.when(stands, F.size(hit) / F.size(p.parts)).alias("cover"))
 
-        by_hit = F.transform(hits, lambda h: F.transform(F.filter(F.array(*postings), lambda p: p.anchor == h.w), lambda p: place(h, p)))
-        return F.filter(F.flatten(by_hit), lambda x: x.cover >= coverage)
+        def starts(p: Column, word: str, at: str) -> Column:
+            return F.filter(F.transform(F.filter(hits, lambda h: h.w == p[word]), lambda h: h.i - p[at]), lambda x: x + p.key_at >= 0)
+
+        possible = F.filter(F.array(*postings), lambda p: F.size(F.array_except(p.key, present)) == 0)
+        by_template = F.transform(possible, lambda p: F.transform(F.array_intersect(starts(p, "w1", "o1"), starts(p, "w2", "o2")), lambda s: place(s, p)))
+        return F.filter(F.flatten(by_template), lambda x: x.cover >= coverage)
 
     present = F.array_intersect(F.col("words"), _strings(vocabulary))
-    possible = F.lit(False)
-    for t in templates:
-        possible = possible | (F.size(F.array_except(_strings(t.key_parts), F.col("present"))) == 0)
     nothing = F.array().cast("array<struct<t:int,first:int,cover:double>>")
     # a text without any anchor is neither lower-cased nor cut
-    first_rare = F.col("spaced").rlike("(?i)" + "|".join(rf"\b{a}\b" for a in anchors))
-    worked = rows.withColumn("words", F.when(first_rare, cut)).withColumn("present", present).withColumn("found", F.when(F.coalesce(possible, F.lit(False)), places_of(F.col("words")).cast("array<struct<t:int,first:int,cover:double>>")).otherwise(nothing))
+    first_rare = F.col("spaced").rlike("(?i)" + "|".join(rf"\b{a}\b" for a in sorted(anchors)))
+    worked = rows.withColumn("words", F.when(first_rare, cut)).withColumn("present", present).withColumn("found", F.when(F.col("words").isNotNull(), places_of(F.col("words"), F.col("present")).cast("array<struct<t:int,first:int,cover:double>>")).otherwise(nothing))
     base = [i for i, t in enumerate(templates) if t.base]
     label = _strings(t.label for t in templates)
 
