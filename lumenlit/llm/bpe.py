@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.llm.caches import claim
+from lumenlit.llm.caches import claim, tidy
 from lumenlit.llm.pieces import PieceTable, batches
 
 #: Pre-tokens by which texts may be cut into pieces.
@@ -141,7 +141,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                     columns += [pa.array(first, pa.string()), pa.array(second, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens"] + ["ids"] * ids + ["ids_sha256", "decoded_sha256"] * digests)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, kind)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(run), kind)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.llm.bpe import byte_chars
-from lumenlit.llm.caches import claim
+from lumenlit.llm.caches import claim, tidy
 from lumenlit.llm.pieces import PieceTable, batches
 from lumenlit.llm.store import AtomicFile, read_file
 
@@ -255,7 +255,7 @@ def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str
 
     spark = df.sparkSession
     manifest = f"{out}/manifest"
-    dealt.mapInArrow(write, "uri string, part long, seq long, n_docs long, n_tokens long").write.parquet(manifest)
+    dealt.mapInArrow(tidy(write), "uri string, part long, seq long, n_docs long, n_tokens long").write.parquet(manifest)
     files = spark.read.parquet(manifest).orderBy("part", "seq").collect()  # one row for each file of millions of ids
     start, listed = 0, []
     for f in files:
@@ -283,7 +283,7 @@ def read_token_store(files: DataFrame) -> DataFrame:
                     at = int(ends[hi - 1])
 
     n = max(1, min(files.count(), 10_000))
-    return files.repartition(n, "uri").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, "uri").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(spark: SparkSession, df: DataFrame, out: str, tokenizer_path: str, **options) -> DataFrame:

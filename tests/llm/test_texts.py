@@ -212,3 +212,128 @@ def test_suffix_tree(spark):
     assert not suffix_tree_scores(spark.createDataFrame([], "doc_id long, text string")).collect()
     alone = suffix_tree_scores(spark.createDataFrame(rows[:3], "doc_id long, text string"), learn=F.lit(False)).collect()
     assert {x.train_tokens for x in alone} == {0} and {x.n_known for x in alone} == {0}
+
+
+def brute_tree(docs, learned, min_symbol, min_context, max_depth, weight):
+    """log10 probability of each list of words, by dictionaries of contexts."""
+    count = Counter(w for t, ok in zip(docs, learned) if ok for w in t)
+    ends = sum(learned)
+    tails = defaultdict(lambda: [0, 0])
+    for w, c in count.items():
+        if c < min_symbol:
+            tails[w[-2:]][0] += c
+            tails[w[-2:]][1] += 1
+    rest = [sum(v[j] for v in tails.values() if v[0] < min_symbol) for j in (0, 1)]
+
+    def symbol(w):
+        return ("w", w) if count[w] >= min_symbol else ("t", w[-2:]) if tails.get(w[-2:], [0])[0] >= min_symbol else ("r",)
+
+    mass = {("w", w): c for w, c in count.items() if c >= min_symbol} | {("t", e): v[0] for e, v in tails.items() if v[0] >= min_symbol} | {("r",): rest[0], ("e",): ends}
+    n = sum(count.values()) + ends
+    norm = n + 0.5 * len(mass)
+    seqs = [[("s",), *map(symbol, t), ("e",)] for t in docs]
+    kept = {}
+
+    def prob(context, nxt):
+        for d in range(len(context), 0, -1):
+            if context[-d:] in kept:
+                nexts, total = kept[context[-d:]]
+                return (nexts[nxt] + weight * prob(context[-d + 1 :] if d > 1 else (), nxt)) / (total + weight)
+        return (mass[nxt] + 0.5) / norm
+
+    for d in range(1, max_depth + 1):
+        nexts = defaultdict(Counter)
+        for s, ok in zip(seqs, learned):
+            for i in range(d, len(s) if ok else 0):
+                nexts[tuple(s[i - d : i])][s[i]] += 1
+        for context, own in nexts.items():
+            total = sum(own.values())
+            if total < min_context:
+                continue
+            p = {x: prob(context[1:], x) for x in own}
+            q = {x: (c + weight * p[x]) / (total + weight) for x, c in own.items()}
+            left = weight / (total + weight)
+            gain = total * (sum(q[x] * math.log(q[x] / p[x]) for x in own) + left * (1 - sum(p.values())) * math.log(left))
+            if gain > 0.5 * (len(own) - 1) * math.log(total) + math.log(total):
+                kept[context] = own, total
+    out = []
+    for t, s in zip(docs, seqs):
+        score = sum(math.log10(prob(tuple(s[max(0, i - max_depth) : i]), s[i])) for i in range(1, len(s)))
+        for w in t:
+            x = symbol(w)
+            if x[0] != "w":
+                m, v = tails[w[-2:]] if x[0] == "t" else rest
+                score += math.log10((count[w] + 0.5) / (m + 0.5 * (v + 1)))
+        out.append(score)
+    return out, kept
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 60])
+def test_suffix_tree_equals_brute_force(spark, hot):
+    r = random.Random(12)
+    names = [f"w{i}" for i in range(6)]
+    after = {(x, y, z): r.choice(names) for x in names for y in names for z in names}  # each word follows from three
+    rows = []
+    for i in range(300):
+        t = r.choices(names, k=3)
+        for _ in range(r.randint(0, 60)):
+            t.append(after[tuple(t[-3:])] if r.random() < 0.8 and all(w in names for w in t[-3:]) else r.choice([*names, *names, f"rare{r.randrange(900)}", "x"]))
+        rows.append((i, " ".join(t) if i else None))
+    learned = [i % 4 != 0 for i, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.id: x.score for x in suffix_tree_scores(df, learn=F.col("doc_id") % 4 != 0, min_symbol=5, min_context=10, docs_per_chunk=40, hot=hot).collect()}
+    want, kept = brute_tree([(t or "").split() for _, t in rows], learned, 5, 10, 3, 20.0)
+    assert {len(c) for c in kept} == {1, 2, 3}
+    assert all(abs(got[i] - x) < 0.02 + 1e-3 * abs(x) for (i, _), x in zip(rows, want))
+
+
+def test_words_are_letters():
+    assert split_words("² ½ Ⅷ ①x2 a_b") == ["x", "a", "b"]
+
+
+@pytest.mark.parametrize("n_langs", [5, 100])
+def test_long_texts_in_pieces_and_many_languages(spark, n_langs):
+    r = random.Random(5)
+    words = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in range(n_langs)]
+    train = [(" ".join(r.choices(words[k], k=30)), f"l{k:03d}") for k in range(n_langs) for _ in range(4)]
+    model = fit(train, sequences=40 * n_langs, steps=25)
+    text = " ".join(w for _ in range(30) for k in (1, 2, 1) for w in r.choices(words[k], k=40))
+    own = split_words(text)
+    assert split_words("² ½") == []
+    p = model.marginals(model.emissions(own), np.array([len(own)]))
+    total, n, top = model.long_text(text, True)
+    assert n == len(own) and np.allclose(total, p.sum(axis=0), rtol=1e-6) and (top == p.argmax(axis=1)).mean() > 0.999
+    df = docs(spark, [(i, t, None) for i, (t, _) in enumerate(train)] + [(9000, text, None), (9001, "² ½", None), (9002, text, None)])
+    whole = {x.doc_id: x for x in identify_languages(df, model=model, spans=True).collect()}
+    cut = {x.doc_id: x for x in identify_languages(df.withColumn("score", F.lit("clash")).withColumn("h", F.lit(1)), model=model, spans=True, long_text=2000).collect()}
+    assert whole[9001].lang_pred == cut[9001].lang_pred == "und" and whole[9000].lang_pred == "l001"
+    assert all(abs(whole[i].score - cut[i].score) < 1e-6 and whole[i].spans == cut[i].spans and whole[i].lang_pred == cut[i].lang_pred for i in whole)
+    assert sum(whole[i].lang_pred == label for i, (_, label) in enumerate(train)) >= 0.97 * len(train)
+
+
+def test_mixing_beyond_the_pairs_kept_by_the_driver(spark):
+    df = docs(spark, mixed())
+    assert spark_rows(mix_to_targets(df, details=True, max_pairs=2, sweeps=3)) == duck(df, mixing_sql(sweeps=3))
+    r = random.Random(3)
+    many = docs(spark, [(i, "word " * r.randint(1, 9), f"lang{i % 5000}", f"s{i % 7}") for i in range(9000)])
+    got = mix_to_targets(many, details=True, sweeps=1)
+    assert spark_rows(got) == duck(many, mixing_sql(sweeps=1))
+
+
+def test_mixing_meets_its_margins(spark):
+    df = docs(spark, mixed(6000))
+    cells = defaultdict(float)
+    for _, t, lang, source in mixed(6000):
+        n = len(t.split())
+        topic = "table" if " | " in t else "marked" if "***" in t else "note" if n < 40 else "prose"
+        cells[source or "", lang or "", topic] += n
+    total = sum(cells.values())
+    kept = {(x.source, x.lang, x.topic): x.prob for x in mix_to_targets(df, details=True, share=0.3).collect()}  # low: no probability is capped
+    for k, power in enumerate((0.7, 0.7, 0.9)):
+        sums, reached = defaultdict(float), defaultdict(float)
+        for cell, n in cells.items():
+            sums[cell[k]] += n
+            reached[cell[k]] += n * kept.get(cell, 0.0)
+        scale = sum(v**power for v in sums.values())
+        for x, v in sums.items():
+            assert abs(reached[x] / (0.3 * total) / (v**power / scale) - 1) < 0.02
