@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 SPELLED = (("τ", "tau"), ("∞", "infinity"), ("²", "2"), ("³", "3"))
 ARTICLES = ("the", "a")
 KIND_WORDS = ("benchmark", "dataset", "corpus", "suite", "benchmarks", "datasets", "suites")
-#: words too common to tell titles apart
-TITLE_STOP = ("the", "and", "for", "with", "via", "from", "towards", "toward", "using", "are")
+# Words too common to tell titles apart.
+TITLE_STOP = ("the", "and", "for", "with", "via", "from", "into", "using", "based", "その")
+# Scripts whose words are no terms of English texts.
+OTHER_SCRIPTS = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]"
 
 
 def fold(name: Column) -> Column:

@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlit.operators.shared import checkpointed
 
-def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """node, component: the smallest node that each node reaches.
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node that each node of an edge (a, b)
+    reaches.
 
     Every round takes over the smallest label among neighbours and then jumps
-    to that label's own label. Labels are written after every round
-    (``checkpoint``), so the plan does not grow.
+    to that label's own label, until a round changes nothing. Labels are written
+    after every round, so the plan does not grow.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenlit-"))
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(max_rounds):
+    both = checkpointed(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
+    labels = checkpointed(both.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")))
+    while True:
         near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = step.join(jump, "component").select("node", F.least("component", "next").alias("component"), "old").checkpoint()
-        changed = new.filter("component != old").limit(1).count()
+        new = checkpointed(step.join(jump, "component").select("node", F.least("component", "next").alias("component"), "old"))
         labels = new.select("node", "component")
-        if not changed:
-            break
-    return labels
+        if not new.filter("component != old").limit(1).count():
+            return labels
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Names in texts: longest-match scan, stated roles, introductions, homonyms."""
+"""Names in texts: longest-match scan, acronyms, homonyms."""
 
 from __future__ import annotations
 
@@ -8,12 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What states that a text evaluates or trains on something, and that it introduces it.
-EVALUATES = ("evaluate on", "evaluated on", "results on", "tested on", "performance on")
-TRAINS = ("train on", "trained on", "training on", "fine-tuned on", "pretrained on")
-INTRODUCES = ("we introduce", "we present", "we propose", "we release")
-KINDS = ("benchmark", "dataset", "corpus", "suite")
-
 
 class Finder:
     """Names of up to ``most`` words, found longest first and without overlap."""
@@ -58,24 +52,6 @@ def scan_names(texts: DataFrame, names: dict[str, int]) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, name_id long, hits long, first long")
 
 
-def role_before(sentence: str, at: int) -> str | None:
-    """The role that the nearest cue before this place states."""
-    low, best = sentence.lower(), (-1, None)
-    for role, cues in (("evaluates_on", EVALUATES), ("trains_on", TRAINS)):
-        for cue in cues:
-            k = low.rfind(cue, 0, at)
-            # a participle after "were" or "was" says who did it, not on what
-            if k > best[0] and not re.search(r"\b(they|which) (were|was) $", low[:k]):
-                best = (k, role)
-    return best[1]
-
-
-def introduction(sentence: str) -> tuple[str, str] | None:
-    """Name and kind of what a sentence introduces."""
-    m = re.search(rf"\b(?:{'|'.join(INTRODUCES)})\s+([A-Z][\w+-]*)\s*,?\s+(?:an?|the)\s+(?:\w[\w-]*\s+){{0,5}}?({'|'.join(KINDS)})\b", sentence, re.I)
-    return (m[1], m[2].lower()) if m and m[1][0].isupper() and m[1].lower() not in ("a", "an", "the") else None
-
-
 def is_acronym_of(short: str, long: str) -> bool:
     """The capitals of the short form follow initials of the long form in order."""
     initials = iter(w[0].upper() for w in re.findall(r"\w+", long))

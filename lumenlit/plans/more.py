@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -44,9 +43,10 @@ def capped_links(b):
     return l.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.when(F.col("own"), 4).otherwise(2)).drop("rank")
 
 
-@query("F26", "", "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: NOT regexp_matches(w, '[À-ÿ]'))) AS plain FROM documents")
+@query("F26", "", r"SELECT doc_id, len(list_filter(string_split(text || ' 博弈 x', ' '), lambda w: NOT regexp_matches(w, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]'))) AS plain FROM documents")
 def script_drop(b):
-    return b.documents().select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: ~w.rlike("[À-ÿ]"))).cast("long").alias("plain"))
+    """Terms written in other scripts are dropped."""
+    return b.documents().select("doc_id", F.size(F.filter(F.split(F.concat("text", F.lit(" 博弈 x")), " "), lambda w: ~w.rlike(X.OTHER_SCRIPTS))).cast("long").alias("plain"))
 
 
 @query("X02 X06 X07 X08", "", "SELECT DISTINCT p_name, regexp_replace(translate(lower(p_name || ' É'), 'éèêàâçùûôîïöüä', 'eeeaacuuoiioua'), '[^a-z ]', '', 'g') AS person, CASE WHEN regexp_matches(p_name, '(ss|us|is)$') THEN p_name ELSE regexp_replace(p_name, 's$', '') END AS singular, coalesce(CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'little' WHEN 'large' THEN 'big' END, split_part(p_name, ' ', 1)) AS alias FROM part")
@@ -57,23 +57,12 @@ def name_variants(b):
     return b.table("part").select(n, F.regexp_replace(F.translate(F.lower(F.concat(n, F.lit(" É"))), "éèêàâçùûôîïöüä", "eeeaacuuoiioua"), "[^a-z ]", "").alias("person"), F.when(n.rlike("(ss|us|is)$"), n).otherwise(F.regexp_replace(n, "s$", "")).alias("singular"), F.coalesce(F.element_at(alias, first), first).alias("alias")).distinct()
 
 
-@query("X12 X18", "", "SELECT doc_id, CASE WHEN instr(text, 'License') > 0 THEN substr(text, greatest(instr(text, 'License') - 40, 1), 80) END AS around FROM documents WHERE contains(text, 'License')")
+@query("X12", "", "SELECT doc_id, CASE WHEN instr(text, 'License') > 0 THEN substr(text, greatest(instr(text, 'License') - 40, 1), 80) END AS around FROM documents WHERE contains(text, 'License')")
 def windows_around(b):
     at = F.instr("text", "License")
     return b.documents().filter(F.col("text").contains("License")).select("doc_id", F.when(at > 0, F.substring("text", F.greatest(at - 40, F.lit(1)), F.lit(80))).alias("around"))
 
 
-@query("E05 E07 X15 X16")
-def stated_roles(b):
-    """Roles that the sentences of conversations and texts state for a name."""
-    @F.pandas_udf("string")
-    def role(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else Me.role_before(x, x.find("License")))
-
-    s = b.documents().select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).filter(F.col("s").contains("License"))
-    return s.select("doc_id", role("s").alias("role"))
-
-
 @query("D01 D06", "obs", "SELECT paper_id, obs_id, min(obs_id) OVER (PARTITION BY paper_id, edition) AS representative FROM obs")
 def representatives(b):
     """Rows of one paper and edition resolve to the smallest of them."""
@@ -89,13 +78,13 @@ def paper_records(b):
     return j.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("n_name").alias("area"), F.coalesce("k", F.lit(0)).alias("cited"))
 
 
-@query("D03 D07 E17 E18", "", "SELECT doc_id, substr(text, 1, 280) AS card, coalesce(nullif(split_part(text, '.', 2), ''), split_part(text, '.', 1)) AS change FROM documents")
+@query("D03 E17 E18", "", "SELECT doc_id, substr(text, 1, 280) AS card, coalesce(nullif(split_part(text, '.', 2), ''), split_part(text, '.', 1)) AS change FROM documents")
 def cards(b):
     t = F.col("text")
     return b.documents().select("doc_id", F.substring(t, 1, 280).alias("card"), F.coalesce(F.nullif(F.split_part(t, F.lit("."), F.lit(2)), F.lit("")), F.split_part(t, F.lit("."), F.lit(1))).alias("change"))
 
 
-@query("D10 D13 E21 E16", "obs claims bench", "SELECT id, name, claim_year, claim_edition, contains(brand, '1') AS in_title FROM bench LEFT JOIN claims ON benchmark_id = id")
+@query("D10 E21 E16", "obs claims bench", "SELECT id, name, claim_year, claim_edition, contains(brand, '1') AS in_title FROM bench LEFT JOIN claims ON benchmark_id = id")
 def claim_rows(b):
     return b.benchmarks().join(b.claims(), F.col("id") == F.col("benchmark_id"), "left").select("id", "name", "claim_year", "claim_edition", F.col("brand").contains("1").alias("in_title"))
 
@@ -116,7 +105,7 @@ def archive_paths(b):
     return b.documents().select("doc_id", h.alias("version"), F.concat(F.lit("archive/"), F.substring(h, 1, 2), F.lit("/"), h).alias("path"))
 
 
-@query("D25 S20 S22", "", "SELECT s_suppkey AS id, n_name AS host, 'h' || n_nationkey || ':' || (s_suppkey % 10) AS key, count(*) OVER (PARTITION BY n_nationkey, s_suppkey % 10) AS shared FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+@query("D25 S20", "", "SELECT s_suppkey AS id, n_name AS host, 'h' || n_nationkey || ':' || (s_suppkey % 10) AS key, count(*) OVER (PARTITION BY n_nationkey, s_suppkey % 10) AS shared FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def repo_keys(b):
     s = b.table("supplier").join(F.broadcast(b.table("nation")), F.col("n_nationkey") == F.col("s_nationkey")).withColumn("key", F.concat(F.lit("h"), "n_nationkey", F.lit(":"), F.col("s_suppkey") % 10))
     n = s.groupBy("key").agg(F.count("*").alias("shared"))
@@ -128,7 +117,7 @@ def narrower_badge(b):
     return b.labels().groupBy("paper_id").agg((F.bool_or(F.col("origin") == "derived_topic") & ~F.bool_or(F.col("label") == "BUILDING")).alias("narrower"))
 
 
-@query("D43 J15 E13", "", "SELECT i.item_id, count(*) AS verified FROM benchmark i JOIN documents d ON contains(' ' || trim(regexp_replace(lower(coalesce(d.source, '') || ' ' || d.text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(i.text), '[^a-z0-9]+', ' ', 'g')) || ' ') WHERE len(trim(regexp_replace(lower(i.text), '[^a-z0-9]+', ' ', 'g'))) >= 20 GROUP BY 1")
+@query("D43 E13", "", "SELECT i.item_id, count(*) AS verified FROM benchmark i JOIN documents d ON contains(' ' || trim(regexp_replace(lower(coalesce(d.source, '') || ' ' || d.text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(i.text), '[^a-z0-9]+', ' ', 'g')) || ' ') WHERE len(trim(regexp_replace(lower(i.text), '[^a-z0-9]+', ' ', 'g'))) >= 20 GROUP BY 1")
 def verified_quotes(b):
     """Quotes that stand in the joined source fields of a text."""
     from lumenlit.operators.match import contained_passages
@@ -138,19 +127,6 @@ def verified_quotes(b):
     return hits.groupBy(F.col("passage_id").alias("item_id")).agg(F.count("*").alias("verified"))
 
 
-@query("E08", "", "WITH v AS (SELECT p_name AS n, count(*) AS k FROM part GROUP BY 1) SELECT n AS name, k FROM v WHERE k >= 5")
-def settled_vocabulary(b):
-    """Names kept until another pass changes nothing."""
-    v = b.table("part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("k"))
-    kept, last = v.filter("k >= 5"), -1
-    for _ in range(3):
-        n = kept.count()
-        if n == last:
-            break
-        last, kept = n, kept.filter("k >= 5")
-    return kept
-
-
 @query("V04 D38", "", "WITH q AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) WHERE vec_id % 7 = 0 AND label = 3 GROUP BY ALL), c AS (SELECT list(m ORDER BY i) AS c FROM q), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM embeddings, c) SELECT vec_id, round(s, 6) AS s FROM s ORDER BY s DESC, vec_id LIMIT 20")
 def semantic_extras(b):
     """The texts nearest to the centroid of a set of hits."""
@@ -162,32 +138,25 @@ def semantic_extras(b):
     return s.orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 6).alias("s"))
 
 
-@query("J11")
+@query("J11", "", "WITH c AS (SELECT c_custkey AS id, c_nationkey AS n, c_custkey % 10 AS k, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 10 ORDER BY c_custkey) AS i FROM customer), s AS (SELECT s_suppkey AS id, s_nationkey AS n, s_suppkey % 10 AS k, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 10 ORDER BY s_suppkey) AS i FROM supplier) SELECT c.id AS a, s.id AS b FROM c JOIN s ON c.n = s.n AND c.k = s.k AND c.i = s.i")
 def author_pairs(b):
-    """One-to-one pairs of names within a nation, equal names first."""
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
-        free, out = list(zip(right.id, right.k)), []
-        for i, k in zip(left.id, left.k):
-            hit = next((x for x in free if x[1] == k), None)
-            if hit:
-                free.remove(hit)
-                out.append((i, hit[0]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    c = b.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 10).alias("k"), F.lit(0).alias("side"))
-    s = b.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 10).alias("k"), F.lit(1).alias("side"))
-    return c.union(s).groupBy("n", "k").applyInPandas(pair, "a long, b long")
-
-
-@query("N05 N02 D21", "", "SELECT event_type, count(*) AS facts, sum((props->>'k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
+    """One-to-one pairs of equal names within a nation, the first with the first."""
+    def placed(t, i, n):
+        k = (F.col(i) % 10).alias("k")
+        return t.select(F.col(i).alias("id"), F.col(n).alias("n"), k).withColumn("i", F.row_number().over(Window.partitionBy("n", "k").orderBy("id")))
+
+    c, s = placed(b.table("customer"), "c_custkey", "c_nationkey"), placed(b.table("supplier"), "s_suppkey", "s_nationkey")
+    return c.withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), ["n", "k", "i"]).select("a", "b")
+
+
+@query("N02", "", "SELECT event_type, count(*) AS facts, sum((props->>'k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
 def tool_facts(b):
     """Numbers of nested results, flattened through the variant type."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return b.table("events").groupBy("event_type").agg(F.count("*").alias("facts"), F.sum(k).alias("total"))
 
 
-@query("T09 D32 D26", "obs", "SELECT edition, sum(obs_id)::BIGINT % 1000003 AS state, count(*) AS rows FROM obs GROUP BY 1")
+@query("T09 D26", "obs", "SELECT edition, sum(obs_id)::BIGINT % 1000003 AS state, count(*) AS rows FROM obs GROUP BY 1")
 def input_states(b):
     """A state per edition that changes when its rows do."""
     return b.observations().groupBy("edition").agg((F.sum("obs_id") % 1000003).alias("state"), F.count("*").alias("rows"))

@@ -36,7 +36,7 @@ def query(covers: str, parts: str = "", twin: str | None = None):
 
 
 def _load() -> None:
-    from lumenlit.plans import documents, engine, more, sets, shapes, streams, vectors  # noqa: F401
+    from lumenlit.plans import claims, documents, engine, more, reading, sets, shapes, streams, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,31 +6,28 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions import text as X
+from lumenlit.operators.rank import ranked
 from lumenlit.plans.registry import query
 from lumenlit.sources import files as Fi
 
 
 @query("U01 D06", "", "WITH u AS (SELECT 'a' AS corpus, p_partkey AS eid FROM part WHERE p_size <= 10 UNION ALL SELECT 'b', s_suppkey FROM supplier) SELECT corpus, eid, row_number() OVER (ORDER BY corpus, eid) - 1 AS gid FROM u")
 def global_ids(b):
-    """Ids over two corpora by key: ranks within ranges of ids, shifted by
-    the sizes of the ranges before, so that no task sorts everything."""
+    """Ids over two corpora by key."""
     u = b.table("part").filter("p_size <= 10").select(F.lit("a").alias("corpus"), F.col("p_partkey").alias("eid")).unionByName(b.table("supplier").select(F.lit("b").alias("corpus"), F.col("s_suppkey").alias("eid")))
-    p = u.withColumn("p", F.floor(F.col("eid") / 500).cast("long"))
-    sizes = p.groupBy("corpus", "p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("corpus", "p").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("corpus", "p").orderBy("eid"))
-    return p.join(F.broadcast(sizes), ["corpus", "p"]).select("corpus", "eid", (own - 1 + F.coalesce("before", F.lit(0))).cast("long").alias("gid"))
+    return ranked(u, [F.col("corpus"), F.col("eid")]).select("corpus", "eid", (F.col("rank") - 1).alias("gid"))
 
 
-@query("U02 U04", "obs uses", "SELECT obs_id FROM uses WHERE benchmark_id <= 100 INTERSECT SELECT obs_id FROM uses WHERE role = 'trains_on' EXCEPT SELECT obs_id FROM obs WHERE venue = 'low'")
+@query("U02 U04", "obs uses", "SELECT obs_id FROM uses WHERE surface >= 60 INTERSECT SELECT obs_id FROM uses WHERE role = 'trains_on' EXCEPT SELECT obs_id FROM obs WHERE venue = 'low'")
 def set_algebra(b):
     u = b.uses()
-    return u.filter("benchmark_id <= 100").select("obs_id").intersect(u.filter("role = 'trains_on'").select("obs_id")).subtract(b.observations().filter("venue = 'low'").select("obs_id"))
+    return u.filter("surface >= 60").select("obs_id").intersect(u.filter("role = 'trains_on'").select("obs_id")).subtract(b.observations().filter("venue = 'low'").select("obs_id"))
 
 
-@query("U06 U07 J17 D36", "obs uses", "s AS (SELECT obs_id, list_sort(list(DISTINCT benchmark_id)) AS s FROM uses WHERE obs_id <= 200 GROUP BY 1) SELECT a.obs_id AS a, b.obs_id AS b, len(list_intersect(a.s, b.s)) AS shared, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON a.obs_id < b.obs_id WHERE len(list_intersect(a.s, b.s)) > 0")
+@query("U06 U07 J17 D36", "obs uses", "s AS (SELECT obs_id, list_sort(list(DISTINCT benchmark_id)) AS s FROM uses GROUP BY 1), f AS (SELECT obs_id, unnest(s) AS e FROM s), c AS (SELECT DISTINCT x.obs_id AS a, y.obs_id AS b FROM f x JOIN f y ON x.e = y.e AND x.obs_id < y.obs_id) SELECT c.a, c.b, len(list_intersect(p.s, q.s)) AS shared, round(len(list_intersect(p.s, q.s))::DOUBLE / len(list_distinct(list_concat(p.s, q.s))), 6) AS jaccard FROM c JOIN s p ON p.obs_id = c.a JOIN s q ON q.obs_id = c.b")
 def shared_sets(b):
     """Pairs of observations that use the same entries, joined on the entry."""
-    u = b.uses().filter("obs_id <= 200").select("obs_id", "benchmark_id").distinct()
+    u = b.uses().select("obs_id", "benchmark_id").distinct()
     n = u.groupBy("obs_id").agg(F.count("*").alias("n"))
     j = u.select(F.col("obs_id").alias("a"), "benchmark_id").join(u.select(F.col("obs_id").alias("b"), "benchmark_id"), "benchmark_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     j = j.join(n.select(F.col("obs_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("obs_id").alias("b"), F.col("n").alias("nb")), "b")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from lumenlit.operators.shared import shared_folder
 from lumenlit.plans.registry import query
 from lumenlit.sources import files as Fi
 from lumenlit.sources import html as H
 
 
 def _folder(b) -> str:
-    base = b.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenlit-files-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(b.spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("S01 S02 S03", "", "SELECT c_custkey AS id, c_name AS name, round(c_acctbal, 2) AS bal FROM customer")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions import stats as St
 from lumenlit.operators import graph as G
 from lumenlit.operators import vectors as V
+from lumenlit.operators.rank import ranked
 from lumenlit.plans.registry import query
 
 SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -66,7 +66,7 @@ def _edges(b):
     return li.join(b.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
 
 
-@query("G01 G02 V13", "", f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+@query("G01 V13", "", f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def connected_components(b):
     return G.connected(_edges(b))
 
@@ -103,10 +103,10 @@ def apply_decisions(b):
     return d.join(o, "id", "left").select("id", F.when(F.col("wanted").isNull(), "stale").when(F.col("n").isNull(), "unmatched").when(F.col("n") > 20, "conflict").otherwise("applied").alias("outcome"))
 
 
-@query("W10 W11 M08", "", "WITH s AS (SELECT p_partkey AS id, p_retailprice AS score, p_size > 25 AS hit FROM part), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE id <= 400) SELECT id, rank, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS scaled, round(sum(hit::INT) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::DOUBLE / rank, 6) AS precision FROM r")
+@query("W10 W11", "", "WITH s AS (SELECT p_partkey AS id, p_retailprice AS score, p_size > 25 AS hit FROM part), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) SELECT id, rank, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS scaled, round(sum(hit::INT) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::DOUBLE / rank, 6) AS precision FROM r")
 def ranked_precision(b):
-    """Scores from 0 to 1 and precision at each rank, of a stated short list."""
-    s = b.table("part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), (F.col("p_size") > 25).cast("int").alias("hit"))
-    lo, hi = F.min("score").over(Window.partitionBy()), F.max("score").over(Window.partitionBy())
-    r = s.withColumn("scaled", F.round((F.col("score") - lo) / (hi - lo), 6)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
-    return r.select("id", "rank", "scaled", F.round(F.sum("hit").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.col("rank"), 6).alias("precision"))
+    """Scores from 0 to 1 and precision at each rank."""
+    s = b.table("part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), (F.col("p_size") > 25).cast("int").alias("hit"))
+    ends = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    r = ranked(s, [F.desc("score"), F.col("id")], "hit").join(F.broadcast(ends), F.lit(True))  # one row
+    return r.select("id", "rank", F.round((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("scaled"), F.round(F.col("total") / F.col("rank"), 6).alias("precision"))

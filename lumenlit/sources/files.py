@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+import json
+import os
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,25 +30,38 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").csv(path)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; if the target is there already the source goes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(target)):
+        fs.delete(path(source), True)
+    elif not fs.rename(path(source), path(target)):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
 def write_revision(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]], refs: list[tuple[str, str, str, str]]) -> str:
     """Write tables under ``path/<id>``, where the id is their content hash.
 
-    Before anything is published, keys must be unique and references
-    (table, column, other table, other column) must resolve.
+    Tables are written once, beside their place. There keys must be unique and
+    references (table, column, other table, other column) must resolve; then the
+    whole folder is renamed, so no half of a revision is ever seen under its id.
     """
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{staged}/{name}")
+    held = {name: spark.read.schema(df.schema).parquet(f"{staged}/{name}") for name, df in tables.items()}
     for name, cols in keys.items():
-        if tables[name].groupBy(*cols).count().filter("count > 1").limit(1).count():
+        if held[name].groupBy(*cols).count().filter("count > 1").limit(1).count():
             raise ValueError(f"{name}: repeated key {cols}")
     for name, col, other, key in refs:
-        lost = tables[name].filter(F.col(col).isNotNull()).join(tables[other].select(F.col(key).alias(col)), col, "left_anti")
+        lost = held[name].filter(F.col(col).isNotNull()).join(held[other].select(F.col(key).alias(col)), col, "left_anti")
         if lost.limit(1).count():
             raise ValueError(f"{name}.{col} has values that are not in {other}.{key}")
-    import hashlib
-
-    parts = [f"{n}:{content_hash(df)}" for n, df in sorted(tables.items())]
+    parts = [f"{n}:{content_hash(df)}" for n, df in sorted(held.items())]
     revision = hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{revision}/{name}")
+    _move(spark, staged, f"{path}/{revision}")
     return revision
 
 
@@ -60,6 +77,17 @@ def content_hash(df: DataFrame) -> str:
     return "-".join(map(str, df.agg(F.count("*"), *sums).first()))
 
 
+def dump_json(path: str, obj, indent: int = 2) -> None:
+    """A small result as a readable JSON file, whole or not at all: written
+    beside its place and moved there."""
+    folder = os.path.dirname(path) or "."
+    os.makedirs(folder, exist_ok=True)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(beside, "w", encoding="utf-8") as f:
+        json.dump(obj, f, ensure_ascii=False, indent=indent)
+    os.replace(beside, path)
+
+
 def nest(observations: DataFrame, uses: DataFrame) -> DataFrame:
     """Re-nested records: an observation with its uses in order."""
     inner = uses.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("benchmark_id", "role", "n_evidence"))).alias("uses"))
@@ -85,49 +113,119 @@ def distinct_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 # --- BibTeX ---------------------------------------------------------------------------------------------------------
 
 
-def parse_bibtex(text: str) -> list[dict[str, str]]:
-    """Entries of a BibTeX text with kind, key and fields in lower case; values
-    may nest braces. Broken entries end at the next @."""
-    out = []
-    for m in re.finditer(r"@(\w+)\s*\{\s*([^,\s]+)\s*,", text):
-        entry, at = {"kind": m[1].lower(), "key": m[2]}, m.end()
-        while f := re.compile(r"\s*(\w+)\s*=\s*").match(text, at):
-            at = f.end()
-            if text[at : at + 1] == "{":
-                depth, begin = 0, at
-                while at < len(text):
-                    depth += (text[at] == "{") - (text[at] == "}")
-                    at += 1
-                    if not depth:
-                        break
-                value = text[begin + 1 : at - 1]
-            elif text[at : at + 1] == '"':
-                end = text.find('"', at + 1)
-                value, at = text[at + 1 : end], end + 1
+class _Bibliography:
+    """Reads BibTeX with a cursor: entries, @string names, values joined by #.
+    An entry that isn't well-formed is left out, and reading goes on at the next
+    line that begins with an @."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.names = text, 0, {}
+
+    def peek(self) -> str:
+        """The next character that is no white space."""
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def expect(self, marks: str) -> str:
+        c = self.peek()
+        if not c or c not in marks:
+            raise ValueError(f"one of {marks} expected at {self.at}")
+        self.at += 1
+        return c
+
+    def word(self) -> str:
+        self.peek()
+        begin = self.at
+        while self.at < len(self.text) and not (self.text[self.at].isspace() or self.text[self.at] in ',{}()="#%'):
+            self.at += 1
+        if begin == self.at:
+            raise ValueError(f"a name expected at {begin}")
+        return self.text[begin : self.at]
+
+    def until(self, close: str) -> str:
+        """The text up to this mark outside of nested braces; a backslash takes
+        the meaning from what follows it."""
+        out, depth = [], 0
+        while self.at < len(self.text):
+            c = self.text[self.at]
+            self.at += 1
+            if c == "\\" and self.at < len(self.text):
+                out.append(c + self.text[self.at])
+                self.at += 1
+                continue
+            if c == close and not depth:
+                return "".join(out)
+            depth += (c == "{") - (c == "}")
+            out.append(c)
+        raise ValueError("a value without an end")
+
+    def value(self) -> str:
+        parts = []
+        while True:
+            c = self.peek()
+            if c in ("{", '"'):
+                self.at += 1
+                parts.append(self.until("}" if c == "{" else '"'))
             else:
-                v = re.compile(r"[^,}\s]*").match(text, at)
-                value, at = v[0], v.end()
-            entry[f[1].lower()] = re.sub(r"\s+", " ", value.replace("{", "").replace("}", "")).strip()
-            if c := re.compile(r"\s*,").match(text, at):
-                at = c.end()
-        out.append(entry)
-    return out
+                name = self.word()
+                parts.append(self.names.get(name.lower(), name))
+            if self.peek() != "#":
+                return "".join(parts)
+            self.at += 1
+
+    def fields(self, close: str) -> dict[str, str]:
+        out = {}
+        while self.peek() != close:
+            name = self.word().lower()
+            self.expect("=")
+            out[name] = self.value()
+            if self.peek() != close:
+                self.expect(",")
+        self.at += 1
+        return out
+
+    def entries(self):
+        while (start := self.text.find("@", self.at)) >= 0:
+            self.at = start + 1
+            try:
+                kind = self.word().lower()
+                close = "}" if self.expect("{(") == "{" else ")"
+                if kind in ("comment", "preamble"):
+                    self.until(close)
+                elif kind == "string":
+                    self.names.update(self.fields(close))
+                else:
+                    key = self.word()
+                    if self.peek() != close:
+                        self.expect(",")
+                    yield kind, key, self.fields(close)
+            except ValueError:
+                line = self.text.find("\n@", start + 1)
+                self.at = len(self.text) if line < 0 else line + 1
+
+
+def parse_bibtex(text: str) -> list[dict[str, str]]:
+    """Entries of a BibTeX text: kind, key, and fields by lower-case name, their
+    values without braces and with single spaces."""
+    plain = lambda v: " ".join(v.replace("{", "").replace("}", "").split())
+    return [{"kind": kind, "key": key} | {name: plain(v) for name, v in fields.items()} for kind, key, fields in _Bibliography(text).entries()]
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """file, key, kind, fields of every entry of the files, parsed on the
     executors a file at a time."""
-    kind = "key string, kind string, fields map<string,string>"
+    schema = pa.schema([("file", pa.string()), ("key", pa.string()), ("kind", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
 
-    @F.udtf(returnType=kind)
-    class Entries:
-        def eval(self, text: str):
-            for e in parse_bibtex(text or ""):
-                yield e["key"], e["kind"], {k: v for k, v in e.items() if k not in ("key", "kind")}
+    def run(stream):
+        for batch in stream:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = parse_bibtex(text or "")
+                fields = [[(k, v) for k, v in e.items() if k not in ("key", "kind")] for e in found]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([e["key"] for e in found], pa.string()), pa.array([e["kind"] for e in found], pa.string()), pa.array(fields, schema[3].type)], schema=schema)
 
-    spark.udtf.register("lumenlit_bibtex", Entries)
-    spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").createOrReplaceTempView("lumenlit_bib")
-    return spark.sql("SELECT file, b.* FROM lumenlit_bib, LATERAL lumenlit_bibtex(value) b")
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return pages.mapInArrow(run, "file string, key string, kind string, fields map<string,string>")
 
 
 def bibtex_lines(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenlit.operators.shared import shared_folder
+
 
 def newer_only(stream: DataFrame, key: str, stamp: str) -> DataFrame:
     """Rows of a key with a stamp above all stamps seen before, in stamp order.
@@ -72,7 +73,7 @@ def drained(spark: SparkSession, result: DataFrame, mode: str, folder: str | Non
     Append results are written as files; updates are merged batch by batch, the
     last one of each key standing.
     """
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenlit-stream-")
+    base = folder or shared_folder(spark)
     base = f"{base}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = result.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
