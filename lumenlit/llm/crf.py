@@ -43,6 +43,8 @@ from lumenlit.llm.pieces import batches
 #: What Python takes for a word character though it is neither letter nor digit.
 _SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
+#: The same without these, which few texts hold.
+_NEARLY = re.compile(r"[^\W\d_]+")
 _HASH = 1 << 16
 _BLOCK = 32
 _FEW = 12  # languages, for matrices of blocks
@@ -50,7 +52,9 @@ _CELLS = 4_000_000  # numbers that the marginals of one group of words may take,
 
 
 def split_words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    low = text.lower() if text else ""
+    words = _NEARLY.findall(low)
+    return words if not words or "".join(words).isalpha() else LETTERS.findall(low)
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

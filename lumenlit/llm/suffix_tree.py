@@ -3,10 +3,11 @@
 Texts are read as words (A-Z lower-cased, cut at ASCII white space) and one end.
 The tree's symbols are the words that occur ``min_symbol`` times or more, a
 class for each two-byte ending of the other words (for endings that make up
-``min_symbol`` tokens), one class for the rest, and the end. A context of 1 to
-``max_depth`` symbols is tested if it occurs ``min_context`` times or more; it is
-kept if its next-symbol distribution diverges from that of its longest kept
-suffix by more than the description length of its own. Distributions are
+``min_symbol`` tokens), one class for the rest, and the end. The tree grows from
+its root: a context of 1 to ``max_depth`` symbols is tested if it occurs
+``min_context`` times or more and the context one symbol shorter is kept (or is
+the root); it is kept if its next-symbol distribution diverges from that of the
+shorter one by more than the description length of its own. Distributions are
 smoothed towards the parent's. A word is scored from the state of the longest
 kept suffix before it, times the word's smoothed share of its class. Both least
 counts are absolute: the tree grows with the corpus.
@@ -268,11 +269,12 @@ class State:
         self.context = np.concatenate(([-1], seq[:-1].astype(np.int64)))
         self.context_hash, self.context_total = _mix(self.hash), self.mass
         self.context[~self.predicted] = -1
+        self.alive = self.predicted.copy()  # whose shorter context is kept
 
     def ask(self) -> None:
         """The distinct continuations of this depth's contexts, by bucket."""
         model, size = self.model, np.int64(len(self.hash))
-        ok = np.flatnonzero((self.context >= 0) & (self.context_total[np.maximum(self.context, 0)] >= model.min_context)) if len(self.context_total) else np.zeros(0, np.int64)
+        ok = np.flatnonzero(self.alive & (self.context >= 0) & (self.context_total[np.maximum(self.context, 0)] >= model.min_context)) if len(self.context_total) else np.zeros(0, np.int64)
         code, pairs = pd.factorize(self.context[ok] * size + self.seq[ok])
         context, following = pairs // size, pairs % size
         hashes, total = self.context_hash[context], self.context_total[context].astype(np.int64)
@@ -313,9 +315,10 @@ class State:
                 data = got["data"][at : at + size]
                 at += size
                 pairs = int.from_bytes(data[:4], "little")
-                totals[done : done + pairs] = np.frombuffer(data, "<i8", pairs, 4)
+                kind = "<u4" if data[4] == 4 else "<i8"
+                totals[done : done + pairs] = np.frombuffer(data, kind, pairs, 5)
                 lo = runs[done]
-                own = np.frombuffer(data, np.uint8, offset=4 + 8 * pairs)
+                own = np.frombuffer(data, np.uint8, offset=5 + data[4] * pairs)
                 flags[lo : lo + len(own)] = own
                 done += pairs
             hot = flags == 2
@@ -325,6 +328,8 @@ class State:
         at = np.flatnonzero(self.pair >= 0)
         pair = self.pair[at]
         better = kept[pair]
+        self.alive = np.zeros(len(self.seq), bool)
+        self.alive[at[better]] = True
         self.p[at[better]] = (totals[pair[better]] + model.weight * self.p[at[better]]) / (self.pair_total_of[pair[better]] + model.weight)
         self.context = np.concatenate(([-1], self.pair[:-1]))
         self.context[~self.predicted] = -1
@@ -378,7 +383,9 @@ def _sums(data: list[bytes], weight: float, hot: int):
     flags = np.where(is_hot, 2, diverges(_gain(gain, mass, size, weight), k, size)).astype(np.uint8)
     answers, at, at_pair = [], 0, 0
     for h, _, _, f, _, _ in parsed:
-        answers.append(len(f).to_bytes(4, "little") + n[place[at_pair : at_pair + len(f)]].astype("<i8").tobytes() + flags[where[at : at + len(h)]].tobytes())
+        asked = n[place[at_pair : at_pair + len(f)]]
+        wide = 8 if asked.max(initial=0) >= 1 << 32 else 4
+        answers.append(len(f).to_bytes(4, "little") + bytes([wide]) + asked.astype(f"<{'u4' if wide == 4 else 'i8'}").tobytes() + flags[where[at : at + len(h)]].tobytes())
         at, at_pair = at + len(h), at_pair + len(f)
     return answers, [(int(context.astype(np.int64)[i]), float(size[i]), float(gain[i]), float(mass[i]), float(k[i])) for i in np.flatnonzero(is_hot)]
 

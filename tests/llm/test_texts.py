@@ -248,7 +248,7 @@ def brute_tree(docs, learned, min_symbol, min_context, max_depth, weight):
                 nexts[tuple(s[i - d : i])][s[i]] += 1
         for context, own in nexts.items():
             total = sum(own.values())
-            if total < min_context:
+            if total < min_context or d > 1 and context[1:] not in kept:
                 continue
             p = {x: prob(context[1:], x) for x in own}
             q = {x: (c + weight * p[x]) / (total + weight) for x, c in own.items()}

@@ -8,7 +8,7 @@ import pytest
 from lumenlit.llm import images, warc
 from lumenlit.llm.components import components
 from lumenlit.llm.store import shared_dir
-from lumenlit.llm.vector_graph import build, near_duplicate_vectors, range_search
+from lumenlit.llm.vector_graph import build, near_duplicate_vectors, range_search, true_links
 
 
 def unit(x):
@@ -256,3 +256,18 @@ def test_png_of_other_depths():
     assert images.decode_image(png(16, 0, 2, 1, [bytes([7, 99, 200, 1])])).tolist() == [[7, 200]]
     assert images.decode_image(png(4, 3, 3, 1, [bytes([0x01, 0x20])], bytes([0, 0, 0, 30, 60, 90, 9, 9, 9]))).tolist() == [[0, 60, 9]]
     assert images.decode_image(png(8, 3, 3, 1, [b"abc"])) is None
+
+
+def test_recall_over_a_whole_label(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 32))
+    near = base[:500] + 0.04 * rng.normal(size=(500, 32))
+    group = base[7] + 0.04 * rng.normal(size=(700, 32))
+    rows = [(i, [float(y) for y in v], 1) for i, v in enumerate(np.concatenate([base, near, group]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    X = unit(np.array([r[1] for r in rows]))
+    want = ((X[::10] @ X.T >= 0.93).sum(axis=1) - 1).tolist()
+    true = {r.vec_id: r.true_links for r in true_links(df, every=10, block=300).collect()}
+    assert [true[i] for i in range(0, len(rows), 10)] == want
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, shard=200).collect()}
+    assert all(got[i] <= n for i, n in true.items()) and sum(got[i] for i in true) >= 0.97 * sum(true.values())
