@@ -103,8 +103,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs of texts by the shingles that they share.
+JACCARD_SQL = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))) END)) AS s FROM w),
+x AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN s q ON q.doc_id = a JOIN s r ON r.doc_id = b WHERE c >= 0.8 * (len(q.s) + len(r.s) - c) - 1e-9),
+reach AS (SELECT a AS n, a AS m FROM l UNION SELECT reach.n, l.b FROM reach JOIN l ON l.a = reach.m),
+c AS (SELECT n, min(m) AS class_id FROM reach GROUP BY 1), k AS (SELECT a AS n, count(*) AS k FROM l GROUP BY 1), e AS (SELECT s, count(*) AS e FROM s GROUP BY 1)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN 1 ELSE e.e END::BIGINT AS copies, coalesce(k.k, 0)::BIGINT AS n_links, coalesce(c.class_id, doc_id) AS class_id, coalesce(c.class_id, doc_id) = doc_id AS kept
+FROM s JOIN e ON e.s = s.s LEFT JOIN c ON c.n = doc_id LEFT JOIN k ON k.n = doc_id"""
+
+#: All pairs of vectors of a label.
+VECTOR_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS n, a AS m FROM l UNION SELECT reach.n, l.b FROM reach JOIN l ON l.a = reach.m),
+c AS (SELECT n, min(m) AS c FROM reach GROUP BY 1), k AS (SELECT a AS n, count(*) AS k FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k.k, 0)::BIGINT AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.n = vec_id"""
+
+_BITS = "CASE c " + " ".join(f"WHEN '{x:x}' THEN '{x:04b}'" for x in range(16)) + " END"
+_FIVE = " + ".join(f"{1 << (4 - k)} * (substr(bits, 5 * i::INT + {k + 1}, 1) = '1')::INT" for k in range(5))
+
+#: Digests of whole payloads, in base 32 by way of their bits.
+WARC_SQL = f"""WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS s FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(s, ''), lambda c: {_BITS}), '') AS bits FROM d),
+f AS (SELECT s, min(page_id) AS first FROM d GROUP BY 1)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b JOIN f USING (s)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from lumenlit.llm.licences import licence_sql
     from lumenlit.llm.mixing import mixing_sql
 
-    return {"op3_licence_scan": licence_sql(), "op4_source_mixing": mixing_sql()}
+    return {"op2_jaccard_join": JACCARD_SQL, "op3_licence_scan": licence_sql(), "op4_source_mixing": mixing_sql(), "op8_vector_graph": VECTOR_SQL, "op10_warc": WARC_SQL}
