@@ -35,7 +35,6 @@ import json
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -83,6 +82,23 @@ def _unpacked(data: bytes) -> dict:
     return out
 
 
+def _narrow(values: np.ndarray, wide: int = 1) -> bytes:
+    """Numbers from 0 on in ``wide`` bytes each; those that don't fit follow."""
+    top = (1 << 8 * wide) - 1
+    big = values[values >= top].astype("<i8")
+    return len(big).to_bytes(4, "little") + np.minimum(values, top).astype(f"<u{wide}").tobytes() + big.tobytes()
+
+
+def _wide(data: bytes, n: int, at: int, wide: int = 1) -> tuple[np.ndarray, int]:
+    """The ``n`` numbers that begin here, and where they end."""
+    many, at = int.from_bytes(data[at : at + 4], "little"), at + 4
+    out = np.frombuffer(data, f"<u{wide}", n, at).astype(np.int64)
+    at += n * wide
+    if many:
+        out[out == (1 << 8 * wide) - 1] = np.frombuffer(data, "<i8", many, at)
+    return out, at + 8 * many
+
+
 def _load(uri: str) -> dict:
     with read_file(uri) as f:
         return _unpacked(f.read())
@@ -132,7 +148,7 @@ class _Chunk:
         rows = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
             if b > a:
-                rows.append({"bucket": int(bucket[order[a]]), "chunk": chunk, "words": b"\n".join(words[a:b]), "counts": counts[a:b].tobytes(), "tokens": int(counts[a:b].sum()), "docs": 0, "ends": 0})
+                rows.append({"bucket": int(bucket[order[a]]), "chunk": chunk, "words": b"\n".join(words[a:b]), "counts": _narrow(counts[a:b]), "tokens": int(counts[a:b].sum()), "docs": 0, "ends": 0})
         rows.append({"bucket": -1, "chunk": chunk, "words": b"", "counts": b"", "tokens": 0, "docs": len(lens), "ends": int(learn.sum())})
         return pa.RecordBatch.from_pylist(rows, schema=_WORDS)
 
@@ -174,9 +190,9 @@ def _total_words(partial: DataFrame, least: int) -> DataFrame:
             total: dict[bytes, int] = {}
             own = [x.split(b"\n") for x in g["words"]]
             for words, counts in zip(own, g["counts"]):
-                for w, c in zip(words, np.frombuffer(counts, "<i8").tolist()):
+                for w, c in zip(words, _wide(counts, len(words), 0)[0].tolist()):
                     total[w] = total.get(w, 0) + c
-            rows = [(0, chunk, bucket, np.fromiter(map(total.__getitem__, words), "<i8", len(words)).tobytes(), 0, 0) for chunk, words in zip(g["chunk"], own)]
+            rows = [(0, chunk, bucket, len(words).to_bytes(4, "little") + _narrow(np.fromiter(map(total.__getitem__, words), np.int64, len(words))), 0, 0) for chunk, words in zip(g["chunk"], own)]
             ends: dict[bytes, list[int]] = {}
             frequent = known = 0
             for w, c in total.items():
@@ -218,32 +234,58 @@ class Model:
         self.n, self.n_types, self.ends, self.endings, self.rest = n, n_types, ends, endings, rest
         self.least, self.min_context, self.weight, self.hot, self.n_buckets = least, min_context, weight, hot, n_buckets
         self.norm = n + 0.5 * (n_frequent + len(endings) + 2)
+        # by the number of an ending: the hash of its class, tokens and types
+        self.ending_hash = np.full(65536 + 256, _REST)
+        self.ending_tokens, self.ending_types = (np.full(65536 + 256, float(x)) for x in rest)
+        for e, (tokens, types) in endings.items():
+            at = e[0] * 256 + e[1] if len(e) > 1 else 65536 + e[0]
+            self.ending_hash[at], self.ending_tokens[at], self.ending_types[at] = xxhash.xxh3_64_intdigest(b"\0" + e), tokens, types
         self.hot_kept: list[np.ndarray] = []
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.n_types + 1)))
 
 
+def _word_counts(uri: str) -> np.ndarray:
+    got = _load(uri)
+    out, at = [], 0
+    for size in got["sizes"].tolist():
+        n = int.from_bytes(got["data"][at : at + 4], "little")
+        out.append(_wide(got["data"], n, at + 4)[0])
+        at += size
+    return np.concatenate(out)
+
+
+def _endings(words: bytes) -> np.ndarray:
+    """The two-byte endings of words joined by line feeds, as numbers; from
+    65,536 on those of words of one byte."""
+    if not words:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(words + b"\n", np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    lens = np.diff(ends, prepend=-1) - 1
+    last, before = raw[ends - 1].astype(np.int64), raw[np.maximum(ends - 2, 0)].astype(np.int64)
+    return np.where(lens > 1, before * 256 + last, 65536 + last)
+
+
 class State:
     """A chunk as far as its answers go."""
 
     def __init__(self, folder: str, chunk: int, model: Model):
         tok = _load(f"{folder}/{chunk}.tok")
-        words = tok["words"].split(b"\n") if tok["words"] else []
-        counts = np.frombuffer(_load(f"{folder}/{chunk}.words")["data"], "<i8") if words else np.zeros(0, np.int64)
+        counts = _word_counts(f"{folder}/{chunk}.words") if tok["words"] else np.zeros(0, np.int64)
         self.folder, self.chunk, self.model, self.depth = folder, chunk, model, 0
-        self.ids, self.learn, self.lens = [i if h else None for i, h in zip(tok["ids"].tolist(), tok["has"].tolist())], tok["learn"].astype(bool), tok["lens"]
-        hashes, mass, share = np.empty(len(words), np.uint64), counts.astype(float), np.zeros(len(words))
+        self.tok, self.counts_of = tok, counts
+        self.learn, self.lens = tok["learn"].astype(bool), tok["lens"]
         rare = counts < model.least
+        code = _endings(tok["words"])
+        hashes = model.ending_hash[code] if len(code) else np.zeros(0, np.uint64)
         often = np.flatnonzero(~rare)
-        hashes[often] = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in often.tolist()), np.uint64, len(often))
-        own = np.flatnonzero(rare)
-        known = [model.endings.get(words[i][-2:]) for i in own.tolist()]
-        if len(own):
-            hashes[own] = np.fromiter((_REST if k is None else xxhash.xxh3_64_intdigest(b"\0" + words[i][-2:]) for i, k in zip(own.tolist(), known)), np.uint64, len(own))
-            tokens, types = (np.array([(k or model.rest)[j] for k in known], float) for j in (0, 1))
-            mass[own] = tokens
-            share[own] = np.log10((counts[own] + 0.5) / (tokens + 0.5 * (types + 1)))
+        if len(often):
+            words = tok["words"].split(b"\n")
+            hashes[often] = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in often.tolist()), np.uint64, len(often))
+        mass = np.where(rare, model.ending_tokens[code], counts).astype(float) if len(code) else np.zeros(0)
+        self.rare, self.code = rare, code
         # symbols of this chunk: 0 the start, 1 the end
         every = np.concatenate((np.array([_START, _END]), hashes))
         self.hash, first, to = np.unique(every, return_index=True, return_inverse=True)
@@ -258,12 +300,6 @@ class State:
         self.predicted = np.ones(len(seq), bool)
         self.predicted[starts] = False
         self.learned = np.repeat(self.learn, self.lens + 2) & self.predicted
-        end_base = float(model.base(np.array([model.ends]))[0])
-        base, known = model.base(counts), counts > 0
-        text = np.repeat(np.arange(len(self.lens)), self.lens)
-        self.base = np.bincount(text, weights=base[tok["items"]], minlength=len(self.lens)) + end_base
-        self.known = np.bincount(text, weights=known[tok["items"]], minlength=len(self.lens)).astype(np.int64) + int(model.ends > 0)
-        self.share = np.bincount(text, weights=share[tok["items"]], minlength=len(self.lens))
         self.p = ((self.mass + 0.5) / model.norm)[seq]
         # of the next depth: where each place's context stands in these lists
         self.context = np.concatenate(([-1], seq[:-1].astype(np.int64)))
@@ -275,20 +311,29 @@ class State:
         """The distinct continuations of this depth's contexts, by bucket."""
         model, size = self.model, np.int64(len(self.hash))
         ok = np.flatnonzero(self.alive & (self.context >= 0) & (self.context_total[np.maximum(self.context, 0)] >= model.min_context)) if len(self.context_total) else np.zeros(0, np.int64)
-        code, pairs = pd.factorize(self.context[ok] * size + self.seq[ok])
+        code = self.context[ok] * size + self.seq[ok]
+        by_code = np.argsort(code)
+        ordered = code[by_code]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ok) else np.zeros(0, bool)
+        pairs, at = ordered[new], np.cumsum(new) - 1  # sorted by context, then by what follows
         context, following = pairs // size, pairs % size
         hashes, total = self.context_hash[context], self.context_total[context].astype(np.int64)
         following_hash = _mix(self.hash[following])
-        salt = np.where(total > model.hot, (following_hash >> np.uint64(20)).astype(np.int64) % np.maximum(1, -(-total // model.hot)), 0)
-        bucket = ((hashes >> np.uint64(1)).astype(np.int64) % model.n_buckets + salt) % model.n_buckets
-        order = np.lexsort((pairs, bucket))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pair = np.full(len(self.seq), -1)
-        self.pair[ok] = rank[code]
-        self.counts = np.bincount(rank[code], weights=self.learned[ok], minlength=len(pairs)).astype(np.int64)
+        bucket = ((hashes >> np.uint64(1)) % np.uint64(model.n_buckets)).astype(np.int32)
+        hot = np.flatnonzero(total > model.hot)
+        if len(hot):
+            salt = (following_hash[hot] >> np.uint64(20)).astype(np.int64) % -(-total[hot] // model.hot)
+            bucket[hot] = (bucket[hot] + salt) % model.n_buckets
+        order = np.argsort(bucket, kind="stable")  # contexts stay together: a radix sort of small numbers
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        placed = ok[by_code]
+        self.pair = np.full(len(self.seq), -1, np.int32)
+        self.pair[placed] = rank[at]
         first = np.empty(len(pairs), np.int64)
-        first[rank[code][::-1]] = ok[::-1]
+        first[at[::-1]] = placed[::-1]  # any of a pair's places: their parents' probability is one
+        counts = np.add.reduceat(self.learned[placed].astype(np.int64), np.flatnonzero(new)) if len(ok) else np.zeros(0, np.int64)
+        self.counts, first = counts[order], first[order]
         self.parent = np.rint(np.log2(self.p[first]) * _STEP / 4).astype(np.int16)  # to a 256th; from 2^-128 on
         self.bucket, self.pair_total_of = bucket[order], total[order]
         self.hashes, self.following = hashes[order], following_hash[order].astype(np.uint32)
@@ -315,10 +360,9 @@ class State:
                 data = got["data"][at : at + size]
                 at += size
                 pairs = int.from_bytes(data[:4], "little")
-                kind = "<u4" if data[4] == 4 else "<i8"
-                totals[done : done + pairs] = np.frombuffer(data, kind, pairs, 5)
+                totals[done : done + pairs], end = _wide(data, pairs, 4)
                 lo = runs[done]
-                own = np.frombuffer(data, np.uint8, offset=5 + data[4] * pairs)
+                own = np.frombuffer(data, np.uint8, offset=end)
                 flags[lo : lo + len(own)] = own
                 done += pairs
             hot = flags == 2
@@ -336,23 +380,36 @@ class State:
         self.context_hash, self.context_total = _mix(self.hashes * _M1 + self.following.astype(np.uint64) + np.uint64(1)), totals
         self.depth += 1
 
-    def scores(self) -> np.ndarray:
+    @property
+    def ids(self) -> list[int | None]:
+        return [i if h else None for i, h in zip(self.tok["ids"].tolist(), self.tok["has"].tolist())]
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base score and score of each text."""
+        model, counts, items = self.model, self.counts_of, self.tok["items"]
+        text = np.repeat(np.arange(len(self.lens)), self.lens)
+        each = lambda x: np.bincount(text, weights=x[items], minlength=len(self.lens))
+        share = np.zeros(len(counts))
+        own = np.flatnonzero(self.rare)
+        tokens, types = model.ending_tokens[self.code[own]], model.ending_types[self.code[own]]
+        share[own] = np.log10((counts[own] + 0.5) / (tokens + 0.5 * (types + 1)))
+        known = each(counts > 0).astype(np.int64) + int(model.ends > 0)
+        base = each(model.base(counts)) + float(model.base(np.array([model.ends]))[0])
         logs = np.where(self.predicted, np.log10(self.p), 0.0)
-        return np.add.reduceat(logs, self.starts) + self.share if len(self.starts) else np.zeros(0)
+        return known, base, (np.add.reduceat(logs, self.starts) if len(self.starts) else np.zeros(0)) + each(share)
 
 
 def _request(hashes, totals, lens, following, counts, parent) -> bytes:
     head = np.array([len(hashes), len(following)], "<i4").tobytes()
-    return head + hashes.astype("<u8").tobytes() + totals.astype("<i8").tobytes() + lens.astype("<i4").tobytes() + following.astype("<u4").tobytes() + counts.astype("<i4").tobytes() + parent.astype("<i2").tobytes()
+    return b"".join((head, hashes.astype("<u8").tobytes(), following.astype("<u4").tobytes(), parent.astype("<i2").tobytes(), _narrow(totals, 2), _narrow(lens), _narrow(counts)))
 
 
 def _parsed(data: bytes):
     c, n = np.frombuffer(data, "<i4", 2).tolist()
-    out, at = [], 8
-    for kind, m in (("<u8", c), ("<i8", c), ("<i4", c), ("<u4", n), ("<i4", n), ("<i2", n)):
-        out.append(np.frombuffer(data, kind, m, at))
-        at += out[-1].nbytes
-    return out
+    hashes, following, parent = np.frombuffer(data, "<u8", c, 8), np.frombuffer(data, "<u4", n, 8 + 8 * c), np.frombuffer(data, "<i2", n, 8 + 8 * c + 4 * n)
+    totals, at = _wide(data, c, 8 + 8 * c + 6 * n, 2)
+    lens, at = _wide(data, c, at)
+    return hashes, totals, lens, following, _wide(data, n, at)[0], parent
 
 
 def diverges(gain, continuations, total):
@@ -383,9 +440,7 @@ def _sums(data: list[bytes], weight: float, hot: int):
     flags = np.where(is_hot, 2, diverges(_gain(gain, mass, size, weight), k, size)).astype(np.uint8)
     answers, at, at_pair = [], 0, 0
     for h, _, _, f, _, _ in parsed:
-        asked = n[place[at_pair : at_pair + len(f)]]
-        wide = 8 if asked.max(initial=0) >= 1 << 32 else 4
-        answers.append(len(f).to_bytes(4, "little") + bytes([wide]) + asked.astype(f"<{'u4' if wide == 4 else 'i8'}").tobytes() + flags[where[at : at + len(h)]].tobytes())
+        answers.append(len(f).to_bytes(4, "little") + _narrow(n[place[at_pair : at_pair + len(f)]].astype(np.int64)) + flags[where[at : at + len(h)]].tobytes())
         at, at_pair = at + len(h), at_pair + len(f)
     return answers, [(int(context.astype(np.int64)[i]), float(size[i]), float(gain[i]), float(mass[i]), float(k[i])) for i in np.flatnonzero(is_hot)]
 
@@ -473,6 +528,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in stream:
             for chunk in batch.column(0).to_pylist():
                 own = _state(folder, chunk, packed.value, max_depth)
-                yield pa.RecordBatch.from_arrays([pa.array(own.ids, pa.int64()), pa.array(own.learn), pa.array(own.lens + 1), pa.array(own.known), pa.array(np.full(len(own.ids), n, np.int64)), pa.array(own.base), pa.array(own.scores())], schema=schema)
+                known, base, score = own.scores()
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids, pa.int64()), pa.array(own.learn), pa.array(own.lens + 1), pa.array(known), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(score)], schema=schema)
 
     return listed.mapInArrow(tidy(run), "id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
