@@ -55,7 +55,7 @@ def latest_editions(observations: DataFrame) -> DataFrame:
     """Observations of the latest edition of each venue. The editions are few:
     their maxima come from a partial aggregate and are joined back."""
     last = observations.groupBy("venue").agg(F.max("edition").alias("edition"))
-    return observations.join(F.broadcast(last), ["venue", "edition"], "left_semi")
+    return observations.join(last, ["venue", "edition"], "left_semi")
 
 
 def find_entity(benchmarks: DataFrame, folded, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ def trend(scope: DataFrame, uses: DataFrame, benchmark_id: int | None = None) ->
     some = uses if benchmark_id is None else uses.filter(F.col("benchmark_id") == benchmark_id)
     hits = some.select("obs_id", "benchmark_id").distinct().join(scope.select("obs_id", "edition"), "obs_id").groupBy("benchmark_id", "edition").agg(F.count("*").alias("k"))
     entries = hits.select("benchmark_id").distinct()
-    grid = entries.crossJoin(F.broadcast(sizes))  # editions are few
+    grid = entries.join(sizes, F.lit(True))  # the question: every entry at every edition
     rows = grid.join(hits, ["benchmark_id", "edition"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     w = Window.partitionBy("benchmark_id", "venue").orderBy("edition")
     rows = rows.withColumn("k0", F.lag("k").over(w)).withColumn("n0", F.lag("n").over(w))

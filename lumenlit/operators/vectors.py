@@ -9,14 +9,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """The ``k`` nearest rows (id, v) of each query by cosine, itself excluded,
-    ties by id. Rows and queries are dealt to blocks; a task multiplies one
-    block of each, so none sees a whole side."""
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    r = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector is whole: not null, of finite numbers, not all zero.
+    Others are near nothing."""
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))) & F.exists("v", lambda x: x != 0)
+    return rows.filter(F.col("v").isNotNull() & fine)
+
+
+def _blocks(rows: DataFrame, block: int) -> int:
+    """So many that each has ``block`` rows, about, whatever the table's size."""
+    return max(1, -(-rows.count() // block))
 
-    def block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 5000) -> DataFrame:
+    """The ``k`` nearest rows (id, v) of each query by cosine, itself excluded,
+    ties by id. Rows and queries are dealt to blocks of ``block``, about; a task
+    multiplies one block of each, so none sees a whole side."""
+    rows, queries = _usable(rows), _usable(queries)
+    n_rows, n_queries = _blocks(rows, block), _blocks(queries, block)
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_queries))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<long>")))
+    r = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<long>")))
+
+    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "other": [], "sim": []})
         a, b = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
@@ -26,18 +40,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> Dat
         order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
         return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), order.shape[1]), "other": ids[order].reshape(-1), "sim": np.take_along_axis(sims, order, 1).reshape(-1)}).query("sim > -2")
 
-    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(block, "id long, other long, sim double")
+    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(meet, "id long, other long, sim double")
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def pairs_at_least(rows: DataFrame, least: float, blocks: int = 8) -> DataFrame:
+def pairs_at_least(rows: DataFrame, least: float, block: int = 3000) -> DataFrame:
     """Pairs (id < other) of rows with a cosine of at least ``least``; every two
     blocks meet in one task, which gives the pairs found there only."""
+    rows = _usable(rows)
+    blocks = _blocks(rows, block)
     own = F.pmod(F.xxhash64("id"), F.lit(blocks))
     dealt = rows.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).withColumn("lo", F.least("own", "x")).withColumn("hi", F.greatest("own", "x"))
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         v, ids, own = np.stack(pdf["v"]).astype(float), pdf["id"].to_numpy(), pdf["own"].to_numpy()
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
         a, b = np.flatnonzero(own == pdf["lo"].iloc[0]), np.flatnonzero(own == pdf["hi"].iloc[0])
@@ -47,7 +63,7 @@ def pairs_at_least(rows: DataFrame, least: float, blocks: int = 8) -> DataFrame:
         keep = x < y if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else x != y
         return pd.DataFrame({"id": np.minimum(x, y)[keep], "other": np.maximum(x, y)[keep], "sim": s[keep]})
 
-    return dealt.groupBy("lo", "hi").applyInPandas(block, "id long, other long, sim double")
+    return dealt.groupBy("lo", "hi").applyInPandas(meet, "id long, other long, sim double")
 
 
 def centroids(rows: DataFrame) -> DataFrame:
@@ -61,7 +77,10 @@ def centroids(rows: DataFrame) -> DataFrame:
 def kmeans(rows: DataFrame, k: int, rounds: int = 8) -> DataFrame:
     """id, cluster: Lloyd rounds from evenly spread seeds by id. The centres
     (k rows) are the only thing that travels."""
+    rows = _usable(rows)
     seeds = rows.withColumn("u", F.xxhash64("id")).orderBy("u").limit(k).select("v").collect()
+    if not seeds:
+        return rows.select("id", F.lit(0).alias("cluster"))
     centres = np.array([s.v for s in seeds], float)
 
     def sums(stream):
@@ -91,6 +110,8 @@ def principal(rows: DataFrame, dims: int = 2, rounds: int = 40) -> DataFrame:
     summed on the executors and decomposed by power iteration with deflation
     from a fixed start; signs are fixed by the start."""
 
+    rows = _usable(rows)
+
     def moments(stream):
         for batch in stream:
             x = np.array(batch.column(0).to_pylist(), float)
@@ -98,6 +119,8 @@ def principal(rows: DataFrame, dims: int = 2, rounds: int = 40) -> DataFrame:
 
     parts = rows.select("v").mapInArrow(moments, "n long, s array<double>, m array<double>")
     n = parts.agg(F.sum("n")).first()[0]
+    if not n:
+        return rows.select("id", F.array().cast("array<double>").alias("p"))
     s = np.array([r.x for r in parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
     m = np.array([r.x for r in parts.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()]).reshape(len(s), len(s))
     cov = m / n - np.outer(s / n, s / n)

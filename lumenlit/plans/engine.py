@@ -208,10 +208,10 @@ def movers(b):
 def _sides(b):
     w = Window.partitionBy("venue").orderBy(F.desc("year"))
     two = b.observations().select("venue", "edition", "year").distinct().withColumn("r", F.row_number().over(w)).filter("r <= 2").drop("year")
-    side = b.observations().join(F.broadcast(two), ["venue", "edition"]).select("obs_id", "venue", "r")
+    side = b.observations().join(two, ["venue", "edition"]).select("obs_id", "venue", "r")
     n = side.groupBy("venue").agg(F.count_if(F.col("r") == 2).alias("n0"), F.count_if(F.col("r") == 1).alias("n"))
     used = b.uses().select("obs_id", "benchmark_id").distinct().join(side, "obs_id")
-    return used.groupBy("venue", "benchmark_id").agg(F.count_if(F.col("r") == 2).alias("k0"), F.count_if(F.col("r") == 1).alias("k")).join(F.broadcast(n), "venue")
+    return used.groupBy("venue", "benchmark_id").agg(F.count_if(F.col("r") == 2).alias("k0"), F.count_if(F.col("r") == 1).alias("k")).join(n, "venue")
 
 
 @query("A31", "obs uses", MOVES + ", l AS (SELECT benchmark_id, count(*) FILTER (z >= 1) AS up, count(*) FILTER (z <= -1) AS down FROM z GROUP BY 1) SELECT benchmark_id, up, down, CASE WHEN up > 0 THEN 'rising' ELSE 'falling' END AS verdict FROM l WHERE (up > 0) <> (down > 0)")

@@ -74,7 +74,7 @@ def representatives(b):
 @query("D02 D44 J16", "", "SELECT c_custkey AS id, c_name AS title, n_name AS area, coalesce(k, 0) AS cited FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def paper_records(b):
     k = b.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
-    j = b.table("customer").join(F.broadcast(b.table("nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(k, "c_custkey", "left")
+    j = b.table("customer").join(b.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(k, "c_custkey", "left")
     return j.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("n_name").alias("area"), F.coalesce("k", F.lit(0)).alias("cited"))
 
 
@@ -107,7 +107,7 @@ def archive_paths(b):
 
 @query("D25 S20", "", "SELECT s_suppkey AS id, n_name AS host, 'h' || n_nationkey || ':' || (s_suppkey % 10) AS key, count(*) OVER (PARTITION BY n_nationkey, s_suppkey % 10) AS shared FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def repo_keys(b):
-    s = b.table("supplier").join(F.broadcast(b.table("nation")), F.col("n_nationkey") == F.col("s_nationkey")).withColumn("key", F.concat(F.lit("h"), "n_nationkey", F.lit(":"), F.col("s_suppkey") % 10))
+    s = b.table("supplier").join(b.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).withColumn("key", F.concat(F.lit("h"), "n_nationkey", F.lit(":"), F.col("s_suppkey") % 10))
     n = s.groupBy("key").agg(F.count("*").alias("shared"))
     return s.join(n, "key").select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("host"), "key", "shared")
 

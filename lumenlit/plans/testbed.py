@@ -41,7 +41,7 @@ class Bed:
     def labels(self) -> DataFrame:
         """Field labels of observations with their origins."""
         c, n, r = self.table("customer"), self.table("nation"), self.table("region")
-        who = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+        who = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
         flat = who.select(F.col("c_custkey").alias("paper_id"), F.explode(F.array(F.struct(F.col("c_mktsegment").alias("label"), F.lit("declared_area").alias("origin")), F.struct(F.col("n_name").alias("label"), F.lit("declared_subarea").alias("origin")), F.struct(F.col("r_name").alias("label"), F.lit("derived_topic").alias("origin")))).alias("l"))
         return flat.select("paper_id", "l.*")
 

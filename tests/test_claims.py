@@ -356,3 +356,17 @@ def test_fold_is_the_columns_fold(spark):
     names = ["The Foo Benchmark", "τ-bench", "A  Toy_dataset", "C++", "x²", "Suite", " the suite "]
     got = [r.k for r in spark.createDataFrame([(n,) for n in names], "n string").select(fold(F.col("n")).alias("k")).collect()]
     assert got == [fold_name(n) for n in names]
+
+
+def test_vectors_that_are_null_or_not_numbers(spark):
+    from lumenlit.operators import vectors as V
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [0.0, 0.0]), (8, [None, 1.0]), (9, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    near = {(r.id, r.other) for r in V.nearest(df, df, 1, block=2).collect()}
+    assert near == {(1, 9), (2, 1), (3, 2), (9, 1)}
+    assert {(r.id, r.other) for r in V.pairs_at_least(df, 0.99, block=2).collect()} == {(1, 2), (1, 9), (2, 9)}
+    assert V.kmeans(df, 2).count() == 4 and V.principal(df).count() == 4
+    none = df.limit(0)
+    assert not V.nearest(none, none, 1).collect() and not V.pairs_at_least(none, 0.5).collect() and not V.kmeans(none, 2).collect() and not V.principal(none).collect()
