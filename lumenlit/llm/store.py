@@ -87,9 +87,14 @@ class AtomicFile:
 
     def __exit__(self, kind, *_):
         self.stream.close()
-        if kind is None:
+        if kind is not None:
+            self.fs.delete_file(self.temp)
+            return
+        try:
             self.fs.move(self.temp, self.path)
-        else:
+        except OSError:  # some file systems don't move over a file: another attempt of the task was first
+            if self.fs.get_file_info(self.path).type != pafs.FileType.File:
+                raise
             self.fs.delete_file(self.temp)
 
 

@@ -92,3 +92,31 @@ def test_bpe_query_and_decoding(spark, libs):
         ids = libs[1].encode_ordinary(text.decode())
         assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert not bpe_encode(df.limit(0), RANKS, P.PATTERN).collect()
+
+
+def test_a_second_attempt_leaves_one_whole_file(tmp_path):
+    from lumenlit.llm.store import AtomicFile
+
+    class Strict:  # as file systems that don't move over a file
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            if (tmp_path / "x" / "f").exists():
+                raise OSError("it is there")
+            self.fs.move(a, b)
+
+    uri = f"file://{tmp_path}/x/f"
+    for _ in range(2):
+        f = AtomicFile(uri)
+        f.fs = Strict(f.fs)
+        with f as out:
+            out.write(b"same")
+    with pytest.raises(ZeroDivisionError):
+        with AtomicFile(uri) as out:
+            out.write(b"half")
+            1 / 0
+    assert (tmp_path / "x" / "f").read_bytes() == b"same" and len(list((tmp_path / "x").iterdir())) == 1
