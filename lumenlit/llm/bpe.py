@@ -90,7 +90,7 @@ class Bpe:
         self.find, self.whole = regex.compile(pattern).findall, ranks
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.token = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.pieces = PieceTable(self._encode_many, max_chars=60_000_000, marks=(), cut=pattern == _PLAIN)
+        self.pieces = PieceTable(self._encode_many, max_chars=30_000_000, marks=(), cut=pattern == _PLAIN)
 
     def _encode_many(self, many: list[str]) -> list[list[int]]:
         split = [[p.encode("utf-8", "surrogatepass") for p in self.find(x)] for x in many]

@@ -122,7 +122,7 @@ class Crf:
         if not words:
             return np.zeros((0, L))
         held = claim("crf")
-        if id(self) not in held or len(held[id(self)].place) * (200 + 8 * L) > 60_000_000:
+        if id(self) not in held or len(held[id(self)].place) * (200 + 8 * L) > 30_000_000:
             held[id(self)] = _Memo(L)
         memo = held[id(self)]
         new = [w for w in set(words) if w not in memo.place]
