@@ -337,3 +337,28 @@ def test_mixing_meets_its_margins(spark):
         scale = sum(v**power for v in sums.values())
         for x, v in sums.items():
             assert abs(reached[x] / (0.3 * total) / (v**power / scale) - 1) < 0.02
+
+
+def test_recall_below_the_first_level(spark):
+    """Texts that share half their words fill the buckets, so that pairs meet
+    after several splits only; links are counted against all pairs."""
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(260):
+        own = [f"w{g}x{i}" for i in range(60)]
+        rows.append((len(rows), " ".join(passage + own)))
+        near = list(own)
+        for k in r.sample(range(60), 2):
+            near[k] = f"n{g}{k}"
+        rows.append((len(rows), " ".join(passage + near)))
+    want = brute_groups(rows)
+    true = {i: n for i, n, _ in want}
+    assert sum(true.values()) >= 400
+    got = {x.doc_id: x for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bucket=24, block=64).collect()}
+    assert all(got[i].n_links <= n for i, n in true.items()) and sum(x.n_links for x in got.values()) >= 0.99 * sum(true.values())
+
+
+def test_mixing_of_very_long_and_of_many_equal_rows(spark):
+    df = docs(spark, [(1, "word " * 300_000, "en", "a")] + [(2, "same text here", "de", "b")] * 50 + [(None, "x", None, None)])
+    assert spark_rows(mix_to_targets(df, details=True)) == duck(df, mixing_sql())
