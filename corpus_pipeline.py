@@ -2,8 +2,14 @@
 
 Each stage works on all that its predecessor kept, and all but the last return
 the columns of documents. The near-duplicate stage decides by row, so null and
-repeated ids are rows as any other. Null texts and texts without a letter have
-no language and go with the first stage.
+repeated ids are rows as any other.
+
+Cases: null texts and texts without a letter have no language and go with the
+first stage, as all do if no row has a label; an empty table stays empty through
+all stages; of equal rows of one group the first number stays; very long texts
+are read and encoded whole, in pieces; extra columns, whatever their names, are
+left behind by the first stage; null sources and languages are sources and
+languages of their own in the mix.
 """
 
 from __future__ import annotations
