@@ -122,9 +122,9 @@ class Crf:
         if not words:
             return np.zeros((0, L))
         held = claim("crf")
-        if id(self) not in held or len(held[id(self)].place) * (200 + 8 * L) > 30_000_000:
-            held[id(self)] = _Memo(L)
-        memo = held[id(self)]
+        if held.get("model") is not self or len(held["memo"].place) * (200 + 8 * L) > 30_000_000:
+            held["model"], held["memo"] = self, _Memo(L)
+        memo = held["memo"]
         new = [w for w in set(words) if w not in memo.place]
         for i in range(0, len(new), 20_000):
             memo.add(new[i : i + 20_000], self._score(new[i : i + 20_000]))
