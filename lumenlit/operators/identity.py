@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,24 +51,52 @@ def person(name: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z ]", ""))
 
 
+def _disjoint(named) -> bool:
+    """Whether two of these sets of names share nothing."""
+    some = list(named)
+    if not some or frozenset.intersection(*some):
+        return False
+    return any(a.isdisjoint(b) for k, a in enumerate(some) for b in some[:k])
+
+
+class _Group:
+    """Rows that are one paper so far: their places, distinct author lists, and
+    for each kind of id the first place and the value. No two of its lists are
+    disjoint and no kind has two values."""
+
+    def __init__(self, place: int, row: dict):
+        self.rows = [place]
+        self.names = {row["names"]} if row["names"] else set()
+        self.ids = {row["kind"]: (place, row["value"])} if row["kind"] is not None else {}
+
+    def against(self, other: _Group) -> str | None:
+        """Why both can't be one paper."""
+        if any(a.isdisjoint(b) for a in self.names for b in other.names):
+            return "disjoint author lists"
+        apart = [(min(at, other.ids[kind][0]), kind) for kind, (at, value) in self.ids.items() if kind in other.ids and other.ids[kind][1] != value]
+        return f"different {min(apart)[1]} ids" if apart else None
+
+    def take(self, other: _Group) -> None:
+        self.rows += other.rows
+        self.names |= other.names
+        for kind, own in other.ids.items():
+            self.ids[kind] = min(own, self.ids.get(kind, own))
+
+
 class _Block:
     """Rows that shared keys tie together, in their fixed order."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.rows = rows.sort_values(["eventtype", "event"], kind="stable").to_dict("records")
+    def __init__(self, rows: list[dict]):
+        self.rows = sorted(rows, key=lambda r: (r["eventtype"], r["event"] is None, r["event"] or ""))
         for r in self.rows:
             r["names"] = frozenset(r["names"])
-        self.group = list(range(len(self.rows)))  # the first row of each row's group
+        self.groups = [_Group(i, r) for i, r in enumerate(self.rows)]  # each row's group
         self.rules = [set() for _ in self.rows]
         self.notes: list[set[str]] = [set() for _ in self.rows]
 
-    def of(self, *heads: int) -> list[int]:
-        return [i for i, h in enumerate(self.group) if h in heads]
-
     def against(self, rows: list[int]) -> str | None:
         """Why these rows can't be one paper."""
-        named = [self.rows[i]["names"] for i in rows if self.rows[i]["names"]]
-        if any(a.isdisjoint(b) for k, a in enumerate(named) for b in named[:k]):
+        if _disjoint({self.rows[i]["names"] for i in rows if self.rows[i]["names"]}):
             return "disjoint author lists"
         ids = defaultdict(set)
         for i in rows:
@@ -87,13 +115,16 @@ class _Block:
             self.note(rows, reason)
             return
         for i in rows[1:]:
-            a, b = self.group[rows[0]], self.group[i]
-            if a != b:
-                both = self.of(a, b)
-                if reason := self.against(both):
-                    self.note(both, f"{reason} (through an earlier merge)")
+            a, b = self.groups[rows[0]], self.groups[i]
+            if a is not b:
+                if reason := a.against(b):
+                    self.note(a.rows + b.rows, f"{reason} (through an earlier merge)")
                     continue
-                self.group = [min(a, b) if h in (a, b) else h for h in self.group]
+                if len(a.rows) < len(b.rows):
+                    a, b = b, a
+                a.take(b)
+                for k in b.rows:
+                    self.groups[k] = a
         for i in rows:
             self.rules[i].add(rule)
 
@@ -124,6 +155,11 @@ class _Block:
                 self.note(rows, "feed keys disagree: one uid, several |sourceid|")
 
 
+def _settled_batch(rows: list[tuple]) -> pa.RecordBatch:
+    of = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), of)], names=["event", "paper", "rules", "conflicts", "missing_key"])
+
+
 def identify(rows: DataFrame) -> DataFrame:
     """Rows (event, eventtype, title, authors, url, sourceid, uid, source,
     record) to: event, paper (the event of the group's first row, by event type
@@ -152,15 +188,37 @@ def identify(rows: DataFrame) -> DataFrame:
     block = connected(edges).withColumnRenamed("component", "block")
     alone = flat.join(block, "node", "left_anti").select("event", F.col("event").alias("paper"), F.array().cast("array<string>").alias("rules"), F.array().cast("array<string>").alias("conflicts"), "missing_key")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = _Block(pdf.astype(object).where(pdf.notna(), None))
-        own.settle()
-        papers = [own.rows[h]["event"] for h in own.group]
-        merged = {h for h in own.group if own.group.count(h) > 1}
-        rules = {h: sorted(set().union(*(own.rules[i] for i in own.of(h)))) for h in merged}
-        return pd.DataFrame({"event": [r["event"] for r in own.rows], "paper": papers, "rules": [rules.get(h, []) for h in own.group], "conflicts": [sorted(x) for x in own.notes], "missing_key": [r["missing_key"] for r in own.rows]})
+    names = ["event", "eventtype", "names", "kind", "value", "sid", "uid", "has_feed", "track", "track_text", "missing_key"]
 
-    grouped = flat.join(block, "node").groupBy("block").applyInPandas(run, "event string, paper string, rules array<string>, conflicts array<string>, missing_key string")
+    def settled(rows: list[dict]) -> list[tuple]:
+        own = _Block(rows)
+        own.settle()
+        heads, rules = {}, {}
+        for g in own.groups:
+            if id(g) not in heads:
+                heads[id(g)] = own.rows[min(g.rows)]["event"]
+                rules[id(g)] = sorted(set().union(*(own.rules[i] for i in g.rows))) if len(g.rows) > 1 else []
+        return [(r["event"], heads[id(g)], rules[id(g)], sorted(notes), r["missing_key"]) for r, g, notes in zip(own.rows, own.groups, own.notes)]
+
+    def run(stream):
+        """Blocks follow one another, sorted: a batch of them at a time, for
+        most hold two rows."""
+        at, held = None, []
+        for batch in stream:
+            done = []
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at and held:
+                    done += settled(held)
+                    held = []
+                at = block
+                held.append(dict(zip(names, row)))
+            if done:
+                yield _settled_batch(done)
+        if held:
+            yield _settled_batch(settled(held))
+
+    rows = flat.join(block, "node").select("block", *names).repartition("block").sortWithinPartitions("block")
+    grouped = rows.mapInArrow(run, "event string, paper string, rules array<string>, conflicts array<string>, missing_key string")
     return grouped.union(alone)
 
 
