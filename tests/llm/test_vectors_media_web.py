@@ -244,6 +244,35 @@ def test_a_large_group_of_copies_and_large_buckets(spark):
         assert sum(r.n_bound for r in got.values()) < 60 * 59 / 2  # a group is tied together, not paired out
 
 
+def test_votes_do_not_depend_on_the_size_of_parts(spark):
+    from collections import Counter, defaultdict
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (12, 32)).astype(np.uint8)
+    rows = []
+    for i in range(90):  # corners of few kinds, with some bits turned, so that buckets are large and hold copies
+        tests = base[rng.integers(0, len(base), 6)] ^ np.packbits(rng.random((6, 256)) < 0.06, axis=1)
+        tests[5] = tests[4]
+        rows.append((i, images.pack_points(np.zeros(6), np.zeros(6), np.ones(6), np.zeros(6), tests)))
+    points, near = spark.createDataFrame(rows, "id long, points binary"), 44
+    want = Counter()
+    buckets = defaultdict(list)
+    for r in images._hashed(points, 1, 3).collect():
+        buckets[r.bucket].append((r.id, bytes(r.tests)))
+    assert max(map(len, buckets.values())) > 60
+    for own in buckets.values():
+        own.sort()
+        for i, (a, x) in enumerate(own):
+            far = [((int.from_bytes(x) ^ int.from_bytes(y)).bit_count(), j) for j, (b, y) in enumerate(own) if b != a]
+            some = [(d, j) for d, j in far if d <= near]
+            for j in {min(j for _, j in some), min(some)[1]} if some else ():
+                want[tuple(sorted((a, own[j][0])))] += 1
+    want = {k: n for k, n in want.items() if n > 1}
+    assert len(want) > 20
+    for part in (2000, 40, 7, 1):
+        assert {(r.a, r.b): r.n for r in images._table_votes(points, 1, 3, near, part).collect()} == want, part
+
+
 def test_png_of_other_depths():
     import struct
     import zlib
