@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from lumenlit.llm import images, warc
+from lumenlit.llm import images, vector_graph, warc
 from lumenlit.llm.components import components
 from lumenlit.llm.store import shared_dir
 from lumenlit.llm.vector_graph import build, near_duplicate_vectors, range_search, true_links
@@ -300,3 +300,24 @@ def test_recall_over_a_whole_label(spark):
     assert [true[i] for i in range(0, len(rows), 10)] == want
     got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, shard=200).collect()}
     assert all(got[i] <= n for i, n in true.items()) and sum(got[i] for i in true) >= 0.97 * sum(true.values())
+
+
+def test_vectors_go_to_shards_in_turns_and_leave_little(spark):
+    from pathlib import Path
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1200, 128))
+    vectors = np.float32(np.concatenate([base, base[:300] + 0.04 * rng.normal(size=(300, 128))]))
+    df = spark.createDataFrame([(i, [float(y) for y in v], i % 2 if i < 1200 else i % 1200 % 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before, results = held(), []
+    for turn in (1_000_000, 300):
+        results.append(sorted(map(tuple, near_duplicate_vectors(df, shard=100, turn=turn).collect())))
+    assert results[0] == results[1] and sum(r[1] for r in results[0]) >= 0.97 * 600
+    assert held() - before < 2 * 2 * vectors.nbytes  # two runs
+    for v in ([1.5, -0.0, 3.0], [0.1, 1e300, 5e-324]):
+        x = np.array(v)
+        packed = vector_graph.pack_vector(x)
+        assert packed[0] == (4 if v[0] == 1.5 else 8) and len(packed) == 1 + 3 * packed[0]
+        assert np.allclose(vector_graph.unit_vectors([packed, vector_graph.pack_vector(x / 3)])[0], x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()), rtol=1e-15, atol=0)
