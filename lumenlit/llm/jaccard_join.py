@@ -19,10 +19,12 @@
    similarity s stays together with probability s in the first split of a run
    and 1-(1-s)^2 in each of at most ``depth`` more; ``runs`` is taken so that
    all runs together miss it with at most 1 - ``recall`` even at full depth.
-3. Candidates, found with a margin of four standard errors, only bind classes
-   into families. Inside a family the sets themselves are compared, every pair:
-   links are exact and none between members is lost. Families of more than a
-   block keep their blocks as files, which pairs of blocks read.
+3. Candidates, found with a margin of four standard errors where their sizes
+   allow a link, only bind classes into families. Families of more than a block
+   fall into parts whose sets share no shingle of their prefixes, and so cannot
+   link. Inside a part the sets themselves are compared, every pair: links are
+   exact and none between members is lost. Parts of more than a block keep their
+   blocks as files, which pairs of blocks read.
 
 Words are runs between white space, A-Z lower-cased. Texts of one to four words
 have one shingle, all their words; texts without words, null ones too, have
@@ -116,6 +118,14 @@ def _least(n_shingles: np.ndarray, other, threshold: float, tokens: int):
     return threshold - 4 * np.sqrt(threshold * (1 - threshold) / n)
 
 
+def could_link(n_shingles, other, threshold: float):
+    """Whether sets of these sizes that aren't equal can reach the threshold: at
+    best one holds the other, or, at equal sizes, all but one of it."""
+    least, most = np.minimum(n_shingles, other), np.maximum(n_shingles, other)
+    same = least == most
+    return least - same >= threshold * (most + same) - 1e-6
+
+
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -221,7 +231,9 @@ def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float) -> Dat
                 reached = [root]
                 while reached and len(open_):
                     i = reached.pop()
-                    hit = (s[open_] == s[i]).mean(axis=1) >= _least(n[open_], n[i], threshold, tokens)
+                    hit = could_link(n[open_], n[i], threshold)
+                    at = np.flatnonzero(hit)
+                    hit[at] = (s[open_[at]] == s[i]).mean(axis=1) >= _least(n[open_[at]], n[i], threshold, tokens)
                     new = open_[hit].tolist()
                     rows += [(x, root) for x in new]
                     reached += new
@@ -244,9 +256,10 @@ def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> Data
             pivot = _sketches(batch.column(5).to_pylist(), tokens)
             n, m = batch.column(2).to_numpy(), batch.column(6).to_numpy()
             same = (own == pivot).mean(axis=1)
-            edge = same >= _least(n, m, threshold, tokens)
-            gone = same >= near
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(same), pa.array(edge), pa.array(gone & edge)], names=["path", "key", "n", "sketch", "pivot", "same", "edge", "gone"])
+            edge = (same >= _least(n, m, threshold, tokens)) & could_link(n, m, threshold)
+            itself = pc.equal(batch.column(1), batch.column(4)).to_numpy(zero_copy_only=False)
+            gone = (same >= near) & edge | itself
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(same), pa.array(edge), pa.array(gone)], names=["path", "key", "n", "sketch", "pivot", "same", "edge", "gone"])
 
     first = rows.groupBy("path").agg(F.min(F.struct("key", "sketch", "n")).alias("p"))
     joined = rows.join(first, "path").select("path", "key", "n", "sketch", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn"))
@@ -425,6 +438,54 @@ def _between(pairs: DataFrame, threshold: float, folder: str) -> DataFrame:
     return pairs.select("family", "lo", "hi").repartition(F.xxhash64("family", "lo", "hi")).mapInArrow(tidy(run), _LINKS)
 
 
+#: Shingles that come last in prefixes as the most frequent ones: at most so many.
+_FREQUENT = 50_000
+
+
+def _parts(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, part: members that can link have one part. Of two sets that reach the
+    threshold, the larger share of each is in the other, so that in one order of
+    all shingles (rare ones first) their prefixes meet: the n - ceil(threshold *
+    n) + 1 first ones of n. Parts are the components of ids and the shingles of
+    their prefixes (negative nodes)."""
+
+    def flat(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"))], names=["shingle"])
+
+    shingles = sets.select("shingles").mapInArrow(tidy(flat), "shingle long")
+    counted = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "shingle-counts")
+    many = max(2, (counted.agg(F.sum("n")).first()[0] or 0) // _FREQUENT)
+    known = counted.filter(F.col("n") > many).orderBy("shingle").toArrow()  # 16 bytes a row
+    often, times = (known.column(k).to_numpy() for k in (0, 1))
+
+    def run(stream):
+        for batch in stream:
+            ids, nodes = [], []
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(data, "<i8")
+                at = np.minimum(np.searchsorted(often, x), max(0, len(often) - 1))
+                rank = np.where(often[at] == x, times[at], 0) if len(often) else np.zeros(len(x), np.int64)
+                first = x[np.lexsort((x, rank))[: len(x) - math.ceil(threshold * len(x) - 1e-5) + 1]]
+                nodes.append(-1 - (first & 0x7FFFFFFFFFFFFFFF))
+                ids.append(np.full(len(first), i))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(nodes))], names=["id", "node"])
+
+    edges = sets.select("id", "shingles").mapInArrow(tidy(run), "id long, node long")
+    out = materialise(components(edges, "id", "node").filter("node >= 0").select(F.col("node").alias("id"), F.col("component").alias("part")), "parts")
+    discard(counted)
+    return out
+
+
+def _parted(sets: DataFrame, threshold: float, block: int, block_shingles: int) -> DataFrame:
+    """The rows of families of more than a block, dealt anew by their parts."""
+    rows = sets.join(_parts(sets, threshold), "id")
+    sizes = rows.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("shingles") / 8) / block_shingles)).cast("int").alias("n"))
+    dealt = rows.join(materialise(sizes, "part-sizes"), "part")
+    return dealt.select(F.col("part").alias("family"), F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("own"), F.col("n").alias("blocks"), "id", "copies", "shingles")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tokens: int = 64, recall: float = 0.9999, bucket: int = 1024, depth: int = 3, block: int = 512, block_shingles: int = 400_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, copies (rows with the
     same set, itself included), n_links (other rows at ``threshold`` or more,
@@ -474,8 +535,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = read.join(ids, read["doc_id"].eqNullSafe(ids["i"]), "left_semi").select("text").mapInArrow(tidy(keyed), "key binary, shingles binary")
         members = members.union(texts.join(shared, "key").select(*own, "shingles"))
     folder = shared_dir(spark, "blocks")
-    verified = materialise(_within(members, threshold, folder), "links")
+    members = materialise(members.select(*own, "shingles"), "sets")
+    written, large = [members], members.filter("blocks > 1")
     many = wanted.filter("blocks > 1").select("family", "blocks").distinct()
+    if many.limit(1).count():
+        written.append(materialise(_parted(large, threshold, block, block_shingles), "sets"))
+        members = members.filter("blocks = 1").union(written[1])
+        many = materialise(written[1].filter("blocks > 1").select("family", "blocks").distinct(), "many")
+    verified = materialise(_within(members, threshold, folder), "links")
+    discard(*written)
     pairs = many.select("family", "blocks", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("hi")).select("family", F.explode(F.sequence(F.lit(0), F.col("hi") - 1)).alias("lo"), "hi")
     verified = verified.union(materialise(_between(pairs, threshold, folder), "links"))
 

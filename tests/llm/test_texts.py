@@ -6,12 +6,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.llm.crf import Crf, fit, identify_languages, split_words
 from lumenlit.llm.components import forest
-from lumenlit.llm.jaccard_join import candidate_edges, jaccard_join
+from lumenlit.llm.jaccard_join import _parts, candidate_edges, could_link, jaccard_join, shingle_sets
 from lumenlit.llm.licences import TEMPLATES, licence_sql, scan_licences
 from lumenlit.llm.mixing import mix_to_targets, mixing_sql
 from lumenlit.llm.suffix_tree import suffix_tree_scores
@@ -139,6 +140,34 @@ def test_a_large_bucket_of_near_copies_loses_no_candidate(spark):
     assert forest(len(s), [place[bytes(r.a)] for r in found], [place[bytes(r.b)] for r in found]) == want
 
 
+def test_sizes_that_cannot_link_bind_nothing(spark):
+    for p in range(1, 40):
+        for q in range(p, 40):
+            best = max(c / (p + q - c) for c in range(p + 1) if c < q)
+            assert could_link(p, q, 0.8) == could_link(q, p, 0.8) == (best >= 0.8 - 1e-9)
+    sketches = np.random.default_rng(2).integers(1, 1 << 32, (1, 64), dtype=np.uint32).repeat(80, axis=0)
+    sketches[:, 1:] += np.arange(80, dtype=np.uint32)[:, None]  # one path for all, no more in common
+    # few shingles, so that the estimate alone leaves all of them open
+    classes = spark.createDataFrame([(k, k % 4 + 1, x.astype("<u4").tobytes()) for k, x in enumerate(sketches)], "key long, n long, sketch binary")
+    for bucket in (20, 100):
+        assert not [r for r in candidate_edges(classes, 0.8, 64, 1, bucket, 2).collect() if max(r.a % 4, r.b % 4) < 3]
+
+
+def test_a_family_falls_into_parts_that_cannot_link(spark):
+    r = random.Random(8)
+    passage, texts = [r.choice("abcdefgh") * 3 + str(k) for k in range(20)], []
+    for g in range(40):  # all share a passage, by half of what they have
+        own = [f"g{g}w{k}" for k in range(20)]
+        texts += [" ".join(passage + own), " ".join(passage + own + ["end"]), " ".join(passage + own[1:])]
+    sets = shingle_sets(pa.array(texts))
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id long, shingles binary")
+    part = {x.id: x.part for x in _parts(rows, 0.8).collect()}
+    assert len(part) == len(texts) and len(set(part.values())) == 40
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert part[i] == part[j] or len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b))
+
+
 def test_marginals_equal_one_pass():
     rng = np.random.default_rng(1)
     model = Crf(["a", "b", "c"], {}, np.zeros((1, 3)), np.zeros((3, 3)), rng.normal(size=3), rng.normal(size=(3, 3)))
