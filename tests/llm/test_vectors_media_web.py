@@ -273,6 +273,25 @@ def test_votes_do_not_depend_on_the_size_of_parts(spark):
         assert {(r.a, r.b): r.n for r in images._table_votes(points, 1, 3, near, part).collect()} == want, part
 
 
+def test_large_buckets_are_known_where_corners_are_hashed(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 256, (4, 32)).astype(np.uint8)
+    made = [base[rng.integers(0, 4, 6)] ^ np.packbits(rng.random((6, 256)) < 0.06, axis=1) for _ in range(60)]
+    points = spark.createDataFrame([(i, images.pack_points(np.zeros(6), np.zeros(6), np.ones(6), np.zeros(6), x)) for i, x in enumerate(made)], "id long, points binary")
+    plans, votes = [], images._votes
+
+    def seen(rows, near, folder):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return votes(rows, near, folder)
+
+    monkeypatch.setattr(images, "_votes", seen)
+    got = {}
+    for part, options in ((2000, {}), (20, {}), (20, {"listed": 0})):
+        got[part, *options] = sorted(map(tuple, images._table_votes(points, 1, 3, 44, part, **options).collect()))
+    assert len(got[2000,]) > 20 and got[2000,] == got[20,] == got[20, "listed"]
+    assert ["Join" in x for x in plans] == [False, False, True]  # no row of a small bucket goes through a join
+
+
 def test_png_of_other_depths():
     import struct
     import zlib
