@@ -163,10 +163,11 @@ def root_paths(sketches: np.ndarray, roots: list[int]) -> np.ndarray:
     return _mix(sketches[..., roots].astype(np.uint64) + (np.arange(1, len(roots) + 1, dtype=np.uint64) << np.uint64(40)))
 
 
-def _roots(classes: DataFrame, runs: int, tokens: int) -> DataFrame:
-    """A row for each run of a class: path, key. The paths were made with the
-    whole sketches, or are made with what is there."""
+def _roots(classes: DataFrame, runs: int, tokens: int, whole: bool = False) -> DataFrame:
+    """A row for each run of a class: path, key, and n and sketch if ``whole``.
+    The paths were made with the whole sketches, or are made with what is there."""
     kind, made = _kind(classes), "paths" in classes.columns
+    more = ["n", "sketch"] if whole else []
 
     def run(stream):
         for batch in stream:
@@ -175,9 +176,9 @@ def _roots(classes: DataFrame, runs: int, tokens: int) -> DataFrame:
             else:
                 paths = root_paths(_sketches(batch.column(1).to_pylist(), tokens), spread(runs, tokens)).astype(np.int64)
             for k in range(runs):
-                yield pa.RecordBatch.from_arrays([pa.array(paths[:, k].copy()), batch.column(0)], names=["path", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths[:, k].copy()), batch.column(0), *batch.columns[2:]], names=["path", "key", *more])
 
-    return classes.select("key", "paths" if made else "sketch").mapInArrow(tidy(run), f"path long, {kind}")
+    return classes.select("key", "paths" if made else "sketch", *more).mapInArrow(tidy(run), f"path long, {kind}" + ", n long, sketch binary" * whole)
 
 
 def spread(runs: int, tokens: int) -> list[int]:
@@ -192,8 +193,8 @@ def _sketches(many: list[bytes], tokens: int) -> np.ndarray:
 
 
 def _split(rows: DataFrame, tokens: int) -> DataFrame:
-    """A row for each token on which a class is split: path, key. The two bins
-    are sampled for the row's own path."""
+    """A row for each token on which a class is split: path, key, n, sketch. The
+    two bins are sampled for the row's own path."""
     kind = _kind(rows)
 
     def run(stream):
@@ -207,9 +208,9 @@ def _split(rows: DataFrame, tokens: int) -> DataFrame:
                 at = np.flatnonzero(has)
                 value = _mix(values[np.arange(len(values)), where].astype(np.uint64) + (where.astype(np.uint64) << np.uint64(33)))
                 new = _mix(paths.astype(np.uint64) * _MULT[0] + value).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(new[at]), ids.take(pa.array(at))], names=["path", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(new[at]), *(c.take(pa.array(at)) for c in (ids, batch.column(3), batch.column(1)))], names=["path", "key", "n", "sketch"])
 
-    return rows.select("key", "sketch", "path").mapInArrow(tidy(run), f"path long, {kind}")
+    return rows.select("key", "sketch", "path", "n").mapInArrow(tidy(run), f"path long, {kind}, n long, sketch binary")
 
 
 def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float) -> DataFrame:
@@ -262,14 +263,14 @@ def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(same), pa.array(edge), pa.array(gone)], names=["path", "key", "n", "sketch", "pivot", "same", "edge", "gone"])
 
     first = rows.groupBy("path").agg(F.min(F.struct("key", "sketch", "n")).alias("p"))
-    joined = rows.join(first, "path").select("path", "key", "n", "sketch", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn"))
+    joined = rows.join(F.broadcast(first), "path").select("path", "key", "n", "sketch", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn"))
     return joined.mapInArrow(tidy(run), f"path long, {kind}, n long, sketch binary, pivot {kind[4:]}, same double, edge boolean, gone boolean")
 
 
 def _blocks(rows: DataFrame, by: str, sizes: DataFrame, block: int) -> DataFrame:
     """Rows of large groups dealt to pairs of blocks: columns lo, hi; every two
     rows of a group meet in at least one pair."""
-    cut = rows.join(sizes.select(by, F.ceil(F.col("size") / block).cast("int").alias("blocks")), by).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cut = rows.join(F.broadcast(sizes.select(by, F.ceil(F.col("size") / block).cast("int").alias("blocks"))), by).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return cut.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
@@ -284,11 +285,11 @@ def _left_out(seen: DataFrame, tokens: int, threshold: float, near: float, block
     fewest = left.groupBy("path").agg(F.count("*").alias("left"), F.min("n").alias("fewest"))
     n = F.greatest(F.lit(1), F.least("n", "fewest", F.lit(tokens)))
     least = F.lit(threshold) - 4 * F.sqrt(threshold * (1 - threshold) / n)
-    open_ = seen.filter("not edge").join(fewest, "path").filter(F.col("same") >= least - (1 - near) - 1e-9)
+    open_ = seen.filter("not edge").join(F.broadcast(fewest), "path").filter(F.col("same") >= least - (1 - near) - 1e-9)
     sizes = open_.groupBy("path", "left").agg(F.count("*").alias("open")).select("path", *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("left", "open")])
     out = []
     for rows, own, other, own_name, other_name in ((left, "left", "open", "lo", "hi"), (open_.drop("left"), "open", "left", "hi", "lo")):
-        dealt = rows.join(sizes, "path").withColumn(own_name, F.pmod(F.xxhash64("key"), F.col(own)).cast("int"))
+        dealt = rows.join(F.broadcast(sizes), "path").withColumn(own_name, F.pmod(F.xxhash64("key"), F.col(own)).cast("int"))
         out.append(dealt.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("path", "lo", "hi", "key", "n", "sketch"))
     return out[0].union(out[1])
 
@@ -300,35 +301,43 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
 
 
+#: Buckets of more than one class that each executor gets, 16 bytes each.
+_FEW = 500_000
+
+
 def candidate_edges(classes: DataFrame, threshold: float, tokens: int, runs: int, bucket: int, depth: int) -> DataFrame:
     """Edges (a, b) between keys that bind every candidate family. ``classes``
     has key, n, sketch, and may have the paths of the runs."""
     rows = materialise(_roots(classes, runs, tokens), "paths")
     described = classes.select("key", "n", "sketch")
+    first = _roots(classes, runs, tokens, whole=True)  # made anew where it meets few paths, not kept
     found = []
     near = (1 + threshold) / 2
     for level in range(depth + 1):
         sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        held = rows.join(sizes, "path").join(described, "key")
+        brief = sizes.count() <= _FEW
+        if level:
+            held = rows.join(F.broadcast(sizes) if brief else sizes, "path")
+        else:
+            held = first.join(F.broadcast(sizes), "path") if brief else rows.join(sizes, "path").join(described, "key")
         some = held.filter(F.col("size") <= bucket).select("path", "key", "n", "sketch")
         found.append(materialise(_brute(some, ["path"], tokens, threshold), "edges"))
-        large = sizes.filter(F.col("size") > bucket)
+        large = sizes.filter(F.col("size") > bucket)  # one for each ``bucket`` rows at most
         if not large.limit(1).count():
             discard(sizes)
             break
-        big = rows.join(large, "path").join(described, "key").select("path", "key", "n", "sketch")
+        big = (rows if level else first).join(F.broadcast(large), "path").select("path", "key", "n", "sketch")
         seen = materialise(_pivots(big, tokens, threshold, near), "pivots")
         # a bucket of near-copies would not get smaller by any split
         alike = materialise(seen.groupBy("path").agg(F.count_if("edge").alias("hits"), F.count("*").alias("all"), F.count_if(~F.col("gone")).alias("size")), "alike")
         block = F.lit(level == depth) | (F.col("hits") >= 0.1 * F.col("all"))
         rest = seen.filter(~F.col("gone")).select("path", "key", "n", "sketch")
         dealt = _blocks(rest, "path", alike.filter(block), bucket // 2).select("path", "lo", "hi", "key", "n", "sketch")
-        blocks = ["path", "lo", "hi"]
+        met = _left_out(seen, tokens, threshold, near, bucket // 2).withColumn("rest", F.lit(False)).union(dealt.withColumn("rest", F.lit(True)))
         edges = seen.filter("edge and key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-        edges = edges.union(_brute(_left_out(seen, tokens, threshold, near, bucket // 2), blocks, tokens, threshold)).union(_brute(dealt, blocks, tokens, threshold))
-        found.append(materialise(edges, "edges"))
+        found.append(materialise(edges.union(_brute(met, ["rest", "path", "lo", "hi"], tokens, threshold)), "edges"))
         if level < depth:
-            deeper = materialise(_split(rest.join(alike.filter(~block).select("path"), "path", "left_semi"), tokens), "paths")
+            deeper = materialise(_split(rest.join(F.broadcast(alike.filter(~block).select("path")), "path", "left_semi"), tokens), "paths")
         discard(sizes, seen, alike)
         if level < depth:
             discard(rows)

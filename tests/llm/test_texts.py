@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.llm.crf import Crf, fit, identify_languages, split_words
+from lumenlit.llm import jaccard_join as jaccard_module
 from lumenlit.llm.components import forest
 from lumenlit.llm.jaccard_join import _parts, candidate_edges, could_link, jaccard_join, shingle_sets
 from lumenlit.llm.licences import TEMPLATES, licence_sql, scan_licences
@@ -140,6 +141,21 @@ def test_a_large_bucket_of_near_copies_loses_no_candidate(spark):
     assert forest(len(s), [place[bytes(r.a)] for r in found], [place[bytes(r.b)] for r in found]) == want
 
 
+def test_few_and_many_buckets_bind_the_same(spark, monkeypatch):
+    rng, T = np.random.default_rng(6), 64
+    base = rng.integers(1, 1 << 32, (12, T), dtype=np.uint32).repeat(25, axis=0)
+    base[:, :3] = base[0, :3]  # large buckets, split at two levels
+    sketches = np.where(rng.random(base.shape) < 0.08, rng.integers(1, 1 << 32, base.shape, dtype=np.uint32), base)
+    classes = spark.createDataFrame([(k, 500, x.astype("<u4").tobytes()) for k, x in enumerate(sketches)], "key long, n long, sketch binary")
+    made = []
+    for few in (10**6, 0):
+        monkeypatch.setattr(jaccard_module, "_FEW", few)
+        found = candidate_edges(classes, 0.8, T, 3, 20, 2)
+        rows = found.collect()
+        made.append(forest(len(sketches), [r.a for r in rows], [r.b for r in rows]))
+    assert made[0] == made[1] and 12 <= len(set(made[0])) < 100
+
+
 def test_sizes_that_cannot_link_bind_nothing(spark):
     for p in range(1, 40):
         for q in range(p, 40):

@@ -5,8 +5,9 @@ import hashlib
 import numpy as np
 import pytest
 
+from lumenlit.llm import components as module
 from lumenlit.llm import images, vector_graph, warc
-from lumenlit.llm.components import components
+from lumenlit.llm.components import components, forest
 from lumenlit.llm.store import shared_dir
 from lumenlit.llm.vector_graph import build, near_duplicate_vectors, range_search, true_links
 
@@ -22,6 +23,23 @@ def test_components(spark):
     assert not components(spark.createDataFrame([], "a long, b long"), "a", "b").collect()
 
 
+@pytest.mark.parametrize("at_once", [10**6, 50])
+def test_components_end_in_one_task_or_in_rounds(spark, monkeypatch, at_once):
+    rng, joins = np.random.default_rng(4), []
+    monkeypatch.setattr(module, "_tied", lambda *x, tied=module._tied: joins.append(1) or tied(*x))
+    edges = np.concatenate((rng.integers(-300, 300, (250, 2)), np.stack((rng.permutation(200), rng.permutation(200)), axis=1) + 1000))
+    edges = np.concatenate((edges, [(5000 + i, -7000) for i in range(300)], [(9000, 9000)]))  # a hub, and a loop alone
+    frame = spark.createDataFrame(edges.tolist(), "a long, b long").repartition(3)
+    got = {r.node: r.component for r in components(frame, "a", "b", at_once).collect()}
+    nodes = np.unique(edges)
+    root = forest(len(nodes), *np.searchsorted(nodes, edges.T))
+    ends = {int(x) for e in edges.tolist() if e[0] != e[1] for x in e}
+    assert got == {int(x): int(nodes[r]) for x, r in zip(nodes, root) if int(x) in ends}
+    assert bool(joins) == (at_once == 50)  # few edges are not joined round by round
+    words = {tuple(r) for r in components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"), "a", "b").collect()}
+    assert words == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
 def test_graph_finds_what_is_near():
     rng = np.random.default_rng(0)
     base = unit(rng.normal(size=(600, 24)))
