@@ -245,10 +245,10 @@ def _brute(rows: DataFrame, by: list[str], tokens: int, threshold: float) -> Dat
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(run), f"a {kind[4:]}, b {kind[4:]}")
 
 
-def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> DataFrame:
-    """Rows of large buckets with their pivot's key and how they relate to it:
-    same (share of equal bins), edge (a candidate), gone (all but equal, or the
-    pivot itself)."""
+def _pivots(rows: DataFrame, first: DataFrame, tokens: int, threshold: float, near: float) -> DataFrame:
+    """Rows of large buckets (path and pivot, ps, pn: the key, sketch and size of
+    its pivot, in ``first``) and how they relate to it: same (share of equal
+    bins), edge (a candidate), gone (all but equal, or the pivot itself)."""
     kind = _kind(rows)
 
     def run(stream):
@@ -262,8 +262,7 @@ def _pivots(rows: DataFrame, tokens: int, threshold: float, near: float) -> Data
             gone = (same >= near) & edge | itself
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(same), pa.array(edge), pa.array(gone)], names=["path", "key", "n", "sketch", "pivot", "same", "edge", "gone"])
 
-    first = rows.groupBy("path").agg(F.min(F.struct("key", "sketch", "n")).alias("p"))
-    joined = rows.join(F.broadcast(first), "path").select("path", "key", "n", "sketch", F.col("p.key").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn"))
+    joined = rows.join(F.broadcast(first), "path").select("path", "key", "n", "sketch", "pivot", "ps", "pn")
     return joined.mapInArrow(tidy(run), f"path long, {kind}, n long, sketch binary, pivot {kind[4:]}, same double, edge boolean, gone boolean")
 
 
@@ -314,20 +313,20 @@ def candidate_edges(classes: DataFrame, threshold: float, tokens: int, runs: int
     found = []
     near = (1 + threshold) / 2
     for level in range(depth + 1):
-        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).filter("size > 1"), "sizes")
         brief = sizes.count() <= _FEW
         if level:
-            held = rows.join(F.broadcast(sizes) if brief else sizes, "path")
+            held = rows.join(F.broadcast(sizes.select("path", "size")) if brief else sizes.select("path", "size"), "path")
         else:
-            held = first.join(F.broadcast(sizes), "path") if brief else rows.join(sizes, "path").join(described, "key")
+            held = first.join(F.broadcast(sizes.select("path", "size")), "path") if brief else rows.join(sizes.select("path", "size"), "path").join(described, "key")
         some = held.filter(F.col("size") <= bucket).select("path", "key", "n", "sketch")
         found.append(materialise(_brute(some, ["path"], tokens, threshold), "edges"))
         large = sizes.filter(F.col("size") > bucket)  # one for each ``bucket`` rows at most
         if not large.limit(1).count():
             discard(sizes)
             break
-        big = (rows if level else first).join(F.broadcast(large), "path").select("path", "key", "n", "sketch")
-        seen = materialise(_pivots(big, tokens, threshold, near), "pivots")
+        middle = large.select("path", "pivot").join(described.select(F.col("key").alias("pivot"), F.col("sketch").alias("ps"), F.col("n").alias("pn")), "pivot")
+        seen = materialise(_pivots(rows if level else first, middle, tokens, threshold, near), "pivots")
         # a bucket of near-copies would not get smaller by any split
         alike = materialise(seen.groupBy("path").agg(F.count_if("edge").alias("hits"), F.count("*").alias("all"), F.count_if(~F.col("gone")).alias("size")), "alike")
         block = F.lit(level == depth) | (F.col("hits") >= 0.1 * F.col("all"))

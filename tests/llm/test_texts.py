@@ -156,6 +156,22 @@ def test_few_and_many_buckets_bind_the_same(spark, monkeypatch):
     assert made[0] == made[1] and 12 <= len(set(made[0])) < 100
 
 
+def test_rows_of_large_buckets_meet_their_pivot_in_one_join(spark, monkeypatch):
+    sketches = np.random.default_rng(7).integers(1, 1 << 32, (90, 64), dtype=np.uint32)
+    sketches[:, :8] = sketches[0, :8]
+    classes = spark.createDataFrame([(k, 500, x.astype("<u4").tobytes()) for k, x in enumerate(sketches)], "key long, n long, sketch binary")
+    plans, write = [], jaccard_module.materialise
+
+    def seen(df, name):
+        if name == "pivots":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard_module, "materialise", seen)
+    assert not candidate_edges(classes, 0.8, 64, 3, 20, 2).collect()
+    assert len(plans) > 1 and [sum("Join" in x and "path#" in x for x in p.splitlines()) for p in plans] == [1] * len(plans)
+
+
 def test_sizes_that_cannot_link_bind_nothing(spark):
     for p in range(1, 40):
         for q in range(p, 40):
