@@ -310,6 +310,25 @@ def test_large_buckets_are_known_where_corners_are_hashed(spark, monkeypatch):
     assert ["Join" in x for x in plans] == [False, False, True]  # no row of a small bucket goes through a join
 
 
+def test_every_pair_of_corners_counts_where_images_are_not_kin(spark):
+    from collections import Counter, defaultdict
+
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, (6, 32)).astype(np.uint8)
+    made = [base[rng.integers(0, 6, 6)] ^ np.packbits(rng.random((6, 256)) < 0.06, axis=1) for _ in range(70)]
+    rows = [(i, images.pack_points(np.zeros(6), np.zeros(6), np.ones(6), np.zeros(6), x), i if i % 3 else 0) for i, x in enumerate(made)]
+    points, buckets, want = spark.createDataFrame(rows, "id long, points binary, kin long"), defaultdict(list), Counter()
+    for r in images._hashed(points, 1, 3).collect():
+        buckets[r.bucket].append((r.id, int.from_bytes(r.tests), r.kin))
+    for own in buckets.values():
+        for a, x, k in own:
+            want.update((a, b) for b, y, m in own if a < b and k != m and (x ^ y).bit_count() <= 44)
+    want = {k: n for k, n in want.items() if n > 1}
+    assert len(want) > 500
+    for part, options in ((2000, {}), (30, {}), (7, {}), (30, {"listed": 0})):
+        assert {(r.a, r.b): r.n for r in images._table_votes(points, 1, 3, 44, part, **options).collect()} == want, part
+
+
 def test_png_of_other_depths():
     import struct
     import zlib
