@@ -377,3 +377,22 @@ def test_vectors_go_to_shards_in_turns_and_leave_little(spark):
         packed = vector_graph.pack_vector(x)
         assert packed[0] == (4 if v[0] == 1.5 else 8) and len(packed) == 1 + 3 * packed[0]
         assert np.allclose(vector_graph.unit_vectors([packed, vector_graph.pack_vector(x / 3)])[0], x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()), rtol=1e-15, atol=0)
+
+
+def test_a_class_stands_once_in_a_shard(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    group = rng.normal(size=(1, 32)) + 0.04 * rng.normal(size=(500, 32))
+    vectors = np.concatenate([group, rng.normal(size=(200, 32))])
+    df = spark.createDataFrame([(i, [float(y) for y in v], 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    X = unit(vectors)
+    want = ((X @ X.T >= 0.93).sum(axis=1) - 1).tolist()
+    held, search = [], vector_graph._search
+    monkeypatch.setattr(vector_graph, "_search", lambda members, *rest: held.append(members.count()) or search(members, *rest))
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, shard=80).collect()}
+    assert [got[i] for i in range(len(vectors))] == want
+    assert sum(held) <= 3 * len(vectors)  # the group, more than a shard, was repeated for pairs of its blocks
+    for options in ({"shard": 80, "whole": 50}, {"shard": 20}):  # by graphs; by pairs of blocks
+        some = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, **options).collect()}
+        assert all(n <= want[i] for i, n in some.items()) and sum(some.values()) >= 0.97 * sum(want)
+    A = np.array([[1, 2, 9], [2, 3, 9], [2, 9, 9]])
+    assert vector_graph._first_shared(A, np.array([0, 0, 1]), np.array([1, 2, 2]), 2).all() and not vector_graph._first_shared(A, np.array([0]), np.array([0]), 2).any()
