@@ -20,7 +20,9 @@ asked for comes back to it in the order in which it asked. Contexts that occur
 more than ``hot`` times are dealt by continuation too: their sums are added up
 afterwards, and of these contexts, at most a ``hot``-th part of all tokens, the
 kept ones are broadcast. Symbols are told apart by 64 bits of a hash, those that
-follow one context by 32.
+follow one context by 32. The continuations of single symbols, the most that are
+on disk at a time, are counted in turns: each context with all its continuations
+in one.
 
 Cases: a null text counts as empty (one token, the end); null ids count as the
 empty string when the parts are drawn; repeated rows are learned and scored as
@@ -31,6 +33,7 @@ are not read.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 
@@ -49,6 +52,7 @@ from lumenlit.llm.store import AtomicFile, discard, materialise, read_file, shar
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _START, _END, _REST = (np.uint64(x) for x in (1, 2, 3))  # hashes of these symbols
 _STEP = 1024.0  # parents' probabilities travel as rounded logarithms
+_TURNS = 2  # in which contexts of one symbol are counted
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,6 +103,39 @@ def _wide(data: bytes, n: int, at: int, wide: int = 1) -> tuple[np.ndarray, int]
     return out, at + 8 * many
 
 
+def _planes(items: np.ndarray, counts: np.ndarray) -> bytes:
+    """Places in a list of words with these counts: the most frequent words get
+    the smallest numbers, and the bytes of one weight stand together, which makes
+    them easy to pack."""
+    rank = np.empty(len(counts), "<u4")
+    rank[_by_count(counts)] = np.arange(len(counts), dtype="<u4")
+    return rank[items].view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes, counts: np.ndarray) -> np.ndarray:
+    ranks = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    return _by_count(counts).astype(np.int32)[ranks]
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Places, the largest counts first, those from 65,535 on as they come: two
+    bytes are sorted faster."""
+    return np.argsort((0xFFFF - np.minimum(counts, 0xFFFF)).astype(np.uint16), kind="stable")
+
+
+def _sorted_places(code: np.ndarray) -> np.ndarray:
+    """The places of numbers from 0 on, in the order of these numbers and, where
+    they are equal, of places: sorted with the place in the last bits, where it fits."""
+    bits = max(1, (len(code) - 1).bit_length()) if len(code) else 1
+    if len(code) and int(code.max()).bit_length() + bits > 63:
+        return np.argsort(code, kind="stable")
+    held = np.left_shift(code, bits)
+    held |= np.arange(len(code))
+    held.sort()
+    held &= (1 << bits) - 1
+    return held
+
+
 def _load(uri: str) -> dict:
     with read_file(uri) as f:
         return _unpacked(f.read())
@@ -141,9 +178,10 @@ class _Chunk:
         items = rank[np.concatenate(self.items)] if self.items else np.zeros(0, np.int32)
         lens, learn = np.concatenate(self.lens), np.concatenate(self.learn)
         counts = np.bincount(items, weights=np.repeat(learn, lens), minlength=len(words)).astype(np.int64)
+        each = np.bincount(items, minlength=len(words))
         words = [words[i] for i in order.tolist()]
         with AtomicFile(f"{folder}/{chunk}.tok") as f:
-            f.write(_packed(ids=np.array([0 if i is None else i for i in self.ids], "<i8"), has=np.array([i is not None for i in self.ids], np.uint8), learn=learn.astype(np.uint8), lens=lens.astype("<i8"), items=items, words=b"\n".join(words)))
+            f.write(_packed(ids=np.array([0 if i is None else i for i in self.ids], "<i8"), has=np.array([i is not None for i in self.ids], np.uint8), learn=learn.astype(np.uint8), lens=lens.astype("<i8"), items=_planes(items, each), each=_narrow(each), words=b"\n".join(words)))
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         rows = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
@@ -273,6 +311,8 @@ class State:
 
     def __init__(self, folder: str, chunk: int, model: Model):
         tok = _load(f"{folder}/{chunk}.tok")
+        n_words = tok["words"].count(b"\n") + 1 if tok["words"] else 0
+        tok["items"] = _from_planes(tok["items"], _wide(tok.pop("each"), n_words, 0)[0])
         counts = _word_counts(f"{folder}/{chunk}.words") if tok["words"] else np.zeros(0, np.int64)
         self.folder, self.chunk, self.model, self.depth = folder, chunk, model, 0
         self.tok, self.counts_of = tok, counts
@@ -307,12 +347,17 @@ class State:
         self.context[~self.predicted] = -1
         self.alive = self.predicted.copy()  # whose shorter context is kept
 
-    def ask(self) -> None:
-        """The distinct continuations of this depth's contexts, by bucket."""
+    def ask(self, turn: int | None = None) -> None:
+        """The distinct continuations of this depth's contexts, by bucket; given
+        a ``turn``, of its contexts only."""
         model, size = self.model, np.int64(len(self.hash))
+        turns = self.context_hash >> np.uint64(50) & np.uint64(0x3FF)
+        turns = (turns % np.uint64(_TURNS)).astype(np.int32) if self.depth == 0 else np.zeros(len(turns), np.int32)
         ok = np.flatnonzero(self.alive & (self.context >= 0) & (self.context_total[np.maximum(self.context, 0)] >= model.min_context)) if len(self.context_total) else np.zeros(0, np.int64)
+        if turn is not None:
+            ok = ok[turns[self.context[ok]] == turn]
         code = self.context[ok] * size + self.seq[ok]
-        by_code = np.argsort(code)
+        by_code = _sorted_places(code)
         ordered = code[by_code]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ok) else np.zeros(0, bool)
         pairs, at = ordered[new], np.cumsum(new) - 1  # sorted by context, then by what follows
@@ -324,7 +369,9 @@ class State:
         if len(hot):
             salt = (following_hash[hot] >> np.uint64(20)).astype(np.int64) % -(-total[hot] // model.hot)
             bucket[hot] = (bucket[hot] + salt) % model.n_buckets
-        order = np.argsort(bucket, kind="stable")  # contexts stay together: a radix sort of small numbers
+        bucket += turns[context] * model.n_buckets
+        few = bucket.astype(np.uint16) if _TURNS * model.n_buckets < 1 << 16 else bucket
+        order = np.argsort(few, kind="stable")  # contexts stay together: a radix sort of numbers of two bytes
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         placed = ok[by_code]
@@ -400,16 +447,38 @@ class State:
 
 
 def _request(hashes, totals, lens, following, counts, parent) -> bytes:
-    head = np.array([len(hashes), len(following)], "<i4").tobytes()
-    return b"".join((head, hashes.astype("<u8").tobytes(), following.astype("<u4").tobytes(), parent.astype("<i2").tobytes(), _narrow(totals, 2), _narrow(lens), _narrow(counts)))
+    rest = b"".join((parent.astype("<i2").view(np.uint8).reshape(-1, 2).T.tobytes(), _narrow(totals, 2), _narrow(lens), _narrow(counts)))
+    head = np.array([len(hashes), len(following), len(rest)], "<i4").tobytes()
+    return b"".join((head, hashes.astype("<u8").tobytes(), following.astype("<u4").tobytes(), pa.compress(rest, codec="zstd", asbytes=True)))
 
 
 def _parsed(data: bytes):
-    c, n = np.frombuffer(data, "<i4", 2).tolist()
-    hashes, following, parent = np.frombuffer(data, "<u8", c, 8), np.frombuffer(data, "<u4", n, 8 + 8 * c), np.frombuffer(data, "<i2", n, 8 + 8 * c + 4 * n)
-    totals, at = _wide(data, c, 8 + 8 * c + 6 * n, 2)
-    lens, at = _wide(data, c, at)
-    return hashes, totals, lens, following, _wide(data, n, at)[0], parent
+    c, n, size = np.frombuffer(data, "<i4", 3).tolist()
+    hashes, following = np.frombuffer(data, "<u8", c, 12), np.frombuffer(data, "<u4", n, 12 + 8 * c)
+    rest = pa.decompress(data[12 + 8 * c + 4 * n :], size, codec="zstd", asbytes=True)
+    parent = np.ascontiguousarray(np.frombuffer(rest, np.uint8, 2 * n).reshape(2, -1).T).view("<i2").reshape(-1)
+    totals, at = _wide(rest, c, 2 * n, 2)
+    lens, at = _wide(rest, c, at)
+    return hashes, totals, lens, following, _wide(rest, n, at)[0], parent
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 64-bit keys: the first place of each distinct one, and at each place
+    the number of its key in that list. They are sorted with the place in the
+    last bits; keys that only differ in these fall back on a slower sort."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    last = (np.uint64(1) << bits) - np.uint64(1)
+    held = keys & ~last | np.arange(len(keys), dtype=np.uint64)
+    held.sort()
+    at = (held & last).astype(np.int64)
+    change = keys[at[1:]] != keys[at[:-1]]
+    if (change & (held[1:] >> bits == held[:-1] >> bits)).any():
+        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        return first, place
+    new = np.concatenate(([True], change))
+    place = np.empty(len(keys), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return at[new], place
 
 
 def diverges(gain, continuations, total):
@@ -423,10 +492,8 @@ def _sums(data: list[bytes], weight: float, hot: int):
     parsed = [_parsed(x) for x in data]
     hashes, total, lens, following, counts, parent = (np.concatenate(c) for c in zip(*parsed))
     own = np.repeat(hashes, lens)
-    key, place = np.unique(_mix(own * _M1 + following.astype(np.uint64)), return_inverse=True)
-    n = np.bincount(place, weights=counts, minlength=len(key))
-    first = np.empty(len(key), np.int64)
-    first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+    first, place = _distinct(_mix(own * _M1 + following.astype(np.uint64)))
+    n = np.bincount(place, weights=counts, minlength=len(first))
     context, where = np.unique(hashes, return_inverse=True)
     of = np.repeat(where, lens)[first]
     size = np.empty(len(context))
@@ -460,9 +527,9 @@ def _state(folder: str, chunk: int, model: Model, depth: int) -> State:
     return own
 
 
-def _count_contexts(listed: DataFrame, folder: str, shared, depth: int) -> DataFrame:
-    """Kind 0: the answer to a chunk from a bucket. Kind 1: sums of a hot
-    context, packed."""
+def _count_contexts(listed: DataFrame, folder: str, shared, depth: int, turn: int) -> DataFrame:
+    """Of the contexts of one turn, kind 0: the answer to a chunk from a bucket.
+    Kind 1: sums of a hot context, packed."""
     requests = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
     schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("total", pa.float64()), ("gain", pa.float64()), ("mass", pa.float64()), ("k", pa.float64())])
 
@@ -471,7 +538,7 @@ def _count_contexts(listed: DataFrame, folder: str, shared, depth: int) -> DataF
         for batch in stream:
             for chunk in batch.column(0).to_pylist():
                 own = _state(folder, chunk, shared.value, depth)
-                own.ask()
+                own.ask(turn)
                 rows = list(own.requests())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=requests)
@@ -513,12 +580,14 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     model = Model(n, types + (ends > 0), ends, frequent, large, (sum(r.tokens for r in small), sum(r.types for r in small)), min_symbol, min_context, weight, hot, n_buckets)
 
     for depth in range(max_depth if n_chunks else 0):
-        counted = materialise(_count_contexts(listed, folder, spark.sparkContext.broadcast(model), depth), f"lm-depth{depth}")
+        shared = spark.sparkContext.broadcast(model)
+        parts = [materialise(_count_contexts(listed, folder, shared, depth, turn), f"lm-depth{depth}") for turn in range(1 if depth else _TURNS)]
+        counted = functools.reduce(DataFrame.union, parts)
         _write_back(counted.filter("kind = 0"), folder, f"d{depth}")
         hots = counted.filter("kind = 1").groupBy("chunk").agg(F.max("total").alias("total"), F.sum("gain").alias("gain"), F.sum("mass").alias("mass"), F.sum("k").alias("k")).collect()  # at most a hot-th part of all tokens
         kept = [r.chunk for r in hots if diverges(_gain(r.gain, r.mass, r.total, weight), r.k, r.total)]
         model.hot_kept.append(np.array(kept, np.int64).astype(np.uint64))
-        discard(counted)
+        discard(*parts)
 
     packed = spark.sparkContext.broadcast(model)  # 65,536 endings, and the hot contexts
     schema = pa.schema([("id", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

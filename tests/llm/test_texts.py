@@ -423,3 +423,42 @@ def test_recall_below_the_first_level(spark):
 def test_mixing_of_very_long_and_of_many_equal_rows(spark):
     df = docs(spark, [(1, "word " * 300_000, "en", "a")] + [(2, "same text here", "de", "b")] * 50 + [(None, "x", None, None)])
     assert spark_rows(mix_to_targets(df, details=True)) == duck(df, mixing_sql())
+
+
+def test_chunks_and_requests_of_the_suffix_tree_are_packed(spark):
+    from lumenlit.llm import suffix_tree as st
+
+    rng = np.random.default_rng(4)
+    items = np.minimum(rng.zipf(1.3, 50_000) - 1, 2999).astype(np.int32)
+    items = rng.permutation(3000).astype(np.int32)[items]
+    counts = np.bincount(items, minlength=3000)
+    assert (st._from_planes(st._planes(items, counts), counts) == items).all()
+    zipped = lambda x: len(st._packed(x=x))
+    assert zipped(st._planes(items, counts)) < 0.85 * zipped(items)
+    for code in (np.array([5, 1, 5, 0, 1]), np.array([1 << 62, 3, 1 << 62]), np.zeros(0, np.int64)):
+        assert st._sorted_places(code).tolist() == np.argsort(code, kind="stable").tolist()
+    for keys in (rng.integers(0, 1 << 63, 500).astype(np.uint64)[rng.integers(0, 500, 2000)], np.array([9, 8, 9, 8, 10], np.uint64)):  # the last differ in their last bits only
+        first, place = st._distinct(keys)
+        assert (keys[first][place] == keys).all() and len(first) == len(set(keys.tolist())) and (first == [keys.tolist().index(k) for k in keys[first].tolist()]).all()
+    n, runs = 4000, np.array([1500, 2500])
+    given = rng.integers(1, 1 << 60, 2).astype(np.uint64), np.array([70_000, 32]), runs, rng.integers(0, 1 << 32, n).astype(np.uint32), rng.zipf(2, n), (-256 * rng.integers(1, 20, n)).astype(np.int16)
+    made = st._request(*given)
+    assert all((x == y).all() for x, y in zip(st._parsed(made), (given[0], given[1], given[2], given[3], given[4], given[5])))
+    assert len(made) < 7 * n  # 4 bytes of what follows, 2 of its parent's probability, and the count
+    folder = st.shared_dir(spark, "lm-test")
+    chunk = st._Chunk()
+    chunk.add([1, 2], np.array([True, True]), pa.array(["a b c a b d a b", "b a c d a a b"]))
+    rows = chunk.close(0, folder, 4).to_pylist()
+    total = {w: c for r in rows if r["bucket"] >= 0 for w, c in zip(r["words"].split(b"\n"), st._wide(r["counts"], r["words"].count(b"\n") + 1, 0)[0].tolist())}
+    assert total == {b"a": 6, b"b": 5, b"c": 2, b"d": 2}
+    with st.AtomicFile(f"{folder}/0.words") as f:
+        data = [len(r["words"].split(b"\n")).to_bytes(4, "little") + r["counts"] for r in rows if r["bucket"] >= 0]
+        f.write(st._packed(sizes=np.array([len(x) for x in data], "<i8"), data=b"".join(data)))
+    own = st.State(folder, 0, st.Model(17, 5, 2, 4, {}, (0, 0), 1, 1, 20.0, 100, 4))
+    own.ask()
+    whole = dict(own.requests())
+    parts = []
+    for turn in range(st._TURNS):  # each context in one turn, with all that follows it
+        own.ask(turn)
+        parts.append(dict(own.requests()))
+    assert not set(parts[0]) & set(parts[1]) and parts[0] | parts[1] == whole and all(parts)
