@@ -310,6 +310,15 @@ def test_large_buckets_are_known_where_corners_are_hashed(spark, monkeypatch):
     assert ["Join" in x for x in plans] == [False, False, True]  # no row of a small bucket goes through a join
 
 
+def test_corners_are_dealt_in_blocks(spark, monkeypatch):
+    rng, dealt, votes = np.random.default_rng(15), [], images._votes
+    made = [rng.integers(0, 256, (40, 32)).astype(np.uint8) for _ in range(60)]
+    points = spark.createDataFrame([(i, images.pack_points(np.zeros(40), np.zeros(40), np.ones(40), np.zeros(40), x)) for i, x in enumerate(made)], "id long, points binary")
+    monkeypatch.setattr(images, "_votes", lambda rows, near, folder: (dealt.append(rows.count()), votes(rows, near, folder))[1])
+    images._table_votes(points, 1, 8, 44, 2000)
+    assert 0 < dealt[0] <= 16  # not one row for each of 2,400 corners
+
+
 def test_every_pair_of_corners_counts_where_images_are_not_kin(spark):
     from collections import Counter, defaultdict
 
