@@ -120,9 +120,15 @@ class PieceTable:
     @staticmethod
     def _gather(pool: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
         ends = np.cumsum(lens)
-        at = np.repeat(start - (ends - lens), lens)
-        at += np.arange(len(at))
-        return pool[at]
+        first = start - (ends - lens)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, pool.dtype)
+        for lo in range(0, len(lens), 1 << 15):  # places take more room than what they point to
+            hi = min(lo + (1 << 15), len(lens))
+            begin, end = int(ends[lo] - lens[lo]), int(ends[hi - 1])
+            at = np.repeat(first[lo:hi], lens[lo:hi])
+            at += np.arange(begin, end)
+            out[begin:end] = pool[at]
+        return out
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (an Arrow array or a list of strings) one after
@@ -137,15 +143,19 @@ class PieceTable:
                 odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False).astype(bool)
         if not odd.any():
             return self._encode_even(texts)
-        many = self.encode_many(texts.filter(pa.array(odd)).to_pylist())
-        tail = [] if self.end is None else [self.end]
+        whole, tail = texts.filter(pa.array(odd)), [] if self.end is None else [self.end]
+        other, sizes = [], []
+        for a, b in batches(whole, 250_000):  # the library's own results take over 100 bytes a token
+            many = self.encode_many(whole.slice(a, b - a).to_pylist())
+            other.append(np.fromiter((x for c in many for x in (*c, *tail)), np.uint32))
+            sizes += [len(c) + len(tail) for c in many]
+            del many
         ids, counts = self._encode_even(texts.filter(pa.array(~odd)))
-        other = np.fromiter((x for c in many for x in (*c, *tail)), np.uint32)
         lens = np.empty(len(texts), np.int64)
-        lens[~odd], lens[odd] = counts, np.fromiter((len(c) + len(tail) for c in many), np.int64, len(many))
+        lens[~odd], lens[odd] = counts, sizes
         start = np.empty(len(texts), np.int64)
         start[~odd], start[odd] = np.cumsum(counts) - counts, len(ids) + np.cumsum(lens[odd]) - lens[odd]
-        return self._gather(np.concatenate((ids, other)), start, lens), lens
+        return self._gather(np.concatenate((ids, *other)), start, lens), lens
 
     def _encode_even(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):

@@ -33,6 +33,7 @@ from lumenlit.llm.store import AtomicFile, read_file
 
 _RANK = 512  # bits between entries of the rank directory
 _TOKENS = 8_000_000  # a file is closed once it has this many
+_SLICE = 500_000  # tokens that are read at once, at up to 60 bytes each
 
 
 def _widths(ids: np.ndarray) -> list[int]:
@@ -50,6 +51,7 @@ def _widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
+    """The low bits of these values."""
     out = []
     for at in range(0, len(values), 1 << 16):  # a multiple of 8 values: whole bytes
         v = values[at : at + (1 << 16)].astype("<u4")
@@ -74,9 +76,9 @@ def dac_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) ->
         "has_id": np.array([x is not None for x in doc_ids], np.uint8).tobytes(),
         "end": np.cumsum(counts).astype("<i8").tobytes(),
     }
-    widths, rest = _widths(ids), ids.astype(np.uint32)
+    widths, rest = _widths(ids), ids.astype(np.uint32, copy=False)
     for k, width in enumerate(widths):
-        sections[f"chunk{k}"] = _pack(rest & np.uint32((1 << width) - 1), width)
+        sections[f"chunk{k}"] = _pack(rest, width)
         if k + 1 < len(widths):
             more = (rest >> np.uint32(width)) > 0
             sections[f"more{k}"] = np.packbits(more, bitorder="little").tobytes()
@@ -234,13 +236,15 @@ def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str
 
         def close():
             uri = f"{out}/part-{part:06d}-{seq:04d}.dac"
+            flat = np.concatenate(ids)
+            ids.clear()
             with AtomicFile(uri) as f:
-                f.write(dac_bytes(docs, np.concatenate(counts), np.concatenate(ids)))
+                f.write(dac_bytes(docs, np.concatenate(counts), flat))
             return pa.RecordBatch.from_pylist([{"uri": uri, "part": part, "seq": seq, "n_docs": len(docs), "n_tokens": held}], schema=pa.schema([("uri", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in stream:
             texts, keys = batch.column(1).cast(pa.string()), batch.column(0)
-            for a, b in batches(texts):
+            for a, b in batches(texts, 4_000_000):
                 flat, n = table.encode(texts.slice(a, b - a))
                 docs += keys.slice(a, b - a).to_pylist()
                 counts.append(n)
@@ -264,23 +268,35 @@ def write_token_store(df: DataFrame, out: str, tokenizer_path: str, id_col: str
     return spark.createDataFrame(listed, "uri string, part long, seq long, n_docs long, n_tokens long, start long")
 
 
+def stored(own: DacFile):
+    """Lists of the documents of a file, at most 2,000 each: ids, begins and ends
+    in tokens, crc32 of their ids. No more than ``_SLICE`` tokens are held."""
+    docs, ends = own.documents()
+    lo = at = 0
+    while lo < len(docs):
+        hi = min(lo + 2000, max(lo + 1, int(np.searchsorted(ends, at + _SLICE, side="right"))))
+        cuts = np.concatenate(([at], ends[lo:hi]))
+        crc = [0] * (hi - lo)
+        if hi == lo + 1:  # may be longer
+            for x in range(at, int(cuts[1]), _SLICE):
+                crc[0] = zlib.crc32(own.slice(x, min(x + _SLICE, int(cuts[1]))).astype("<u4").tobytes(), crc[0])
+        else:
+            ids = own.slice(at, int(cuts[-1])).astype("<u4")
+            crc = [zlib.crc32(ids[a - at : b - at].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        yield docs[lo:hi], cuts[:-1], cuts[1:], crc
+        lo, at = hi, int(cuts[-1])
+
+
 def read_token_store(files: DataFrame) -> DataFrame:
     """One row per stored document, read from the files: doc_id, start (ids of
     all documents before it), n_tokens and the crc32 of its ids."""
 
     def read(stream):
+        claim("token_read")  # the pieces of the encoder are spent
         for batch in stream:
             for f in batch.to_pylist():
-                own = DacFile(f["uri"])
-                docs, ends = own.documents()
-                at = 0
-                for lo in range(0, len(docs), 2000):
-                    hi = min(lo + 2000, len(docs))
-                    ids = own.slice(at, int(ends[hi - 1])).astype("<u4")
-                    cuts = np.concatenate(([at], ends[lo:hi]))
-                    crc = [zlib.crc32(ids[a - at : b - at].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi], pa.int64()), pa.array(f["start"] + cuts[:-1], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-                    at = int(ends[hi - 1])
+                for docs, begins, ends, crc in stored(DacFile(f["uri"])):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(f["start"] + begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, min(files.count(), 10_000))
     return files.repartition(n, "uri").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

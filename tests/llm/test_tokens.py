@@ -120,3 +120,33 @@ def test_a_second_attempt_leaves_one_whole_file(tmp_path):
             out.write(b"half")
             1 / 0
     assert (tmp_path / "x" / "f").read_bytes() == b"same" and len(list((tmp_path / "x").iterdir())) == 1
+
+
+def test_files_are_read_a_bounded_number_of_tokens_at_once(tmp_path, monkeypatch):
+    import zlib
+
+    from lumenlit.llm import token_store
+
+    counts, rng = np.array([3, 1_200_000, 400_000, 1, 90_000, 70_000]), np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, counts.sum()).astype(np.uint32)
+    (tmp_path / "x.dac").write_bytes(token_store.dac_bytes([5, 6, None, 8, 9, 10], counts, ids))
+    own, sizes = token_store.DacFile(str(tmp_path / "x.dac")), []
+    slice_of = token_store.DacFile.slice
+    monkeypatch.setattr(token_store.DacFile, "slice", lambda self, a, b: (sizes.append(b - a), slice_of(self, a, b))[1])
+    got = [row for part in token_store.stored(own) for row in zip(*part)]
+    ends = np.cumsum(counts)
+    assert got == [(d, e - n, e, zlib.crc32(ids[e - n : e].tobytes())) for d, n, e in zip([5, 6, None, 8, 9, 10], counts, ends)]
+    assert max(sizes) <= 500_000 and sum(sizes) == counts.sum()
+
+
+def test_texts_that_go_whole_to_the_library_go_in_small_lots():
+    asked: list[int] = []
+
+    def codes(many):
+        asked.append(sum(map(len, many)))
+        return [list(map(ord, x)) for x in many]
+
+    texts = ["a  b" + str(i) * 3000 for i in range(400)] + ["one two"]
+    ids, counts = PieceTable(codes, end=7).encode(texts)
+    assert ids.tolist() == [x for t in texts for x in (*map(ord, t), 7)] and counts.tolist() == [len(t) + 1 for t in texts]
+    assert sum(asked) > 2_000_000 and max(asked) < 300_000
