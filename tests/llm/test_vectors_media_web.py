@@ -319,6 +319,86 @@ def test_corners_are_dealt_in_blocks(spark, monkeypatch):
     assert 0 < dealt[0] <= 16  # not one row for each of 2,400 corners
 
 
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_on_images_hold_little():
+    noise = np.random.default_rng(3).integers(0, 256, (90, 80, 80)).astype(np.float32)
+    assert peak_mb(lambda: images.corners(noise)) < 70  # 94 MB with the places of 8,000 corners at once
+
+    def rows():
+        for _ in range(20):
+            yield {"a": np.zeros(250_000, np.int64)}  # 2 MB
+
+    def used():
+        for lot in images._gathered(rows(), 2_500_000):  # 20 MB
+            copies = [lot["a"].copy() for _ in range(3)]
+            del lot, copies
+
+    assert peak_mb(used) < 90  # the parts of a lot are not held beside it
+
+
+def test_a_shelf_holds_its_last_blocks_and_few_pixels(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    for k in range(4):
+        ids = range(4 * k, 4 * k + 4)
+        one = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b""] * 4, pa.large_binary()), pa.array([images.encode_pgm(np.full((30, 40), 9 * i)) for i in ids], pa.large_binary())], names=["id", "points", "image"])
+        with pa.OSFile(f"{tmp_path}/{k}", "wb") as f, pa.ipc.new_file(f, one.schema) as w:
+            w.write_batch(one)
+    read, opened = [], images.read_file
+    monkeypatch.setattr(images, "read_file", lambda uri: read.append(uri[-1]) or opened(uri))
+    shelf = images._Shelf(str(tmp_path), 4, pixels=3000)
+    for b in (1, 2, 3):
+        for i in range(4):
+            for j in (i, 4 * b + i):
+                assert len(shelf.points(j)) == 0 and (shelf.image(j) == 9 * j).all()
+                assert shelf.size == sum(x.size for x in shelf.smooth.values()) <= 3000
+    assert read == list("0123")  # block 0, in use all the time, is read once
+
+
+def test_images_go_to_python_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lumenlit.llm.store import small_batches
+
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], images.materialise
+    before = spark.conf.get(key)
+
+    def lengths(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    sizes = lambda: [r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(lengths, "n long").collect()]
+    with small_batches(spark):
+        assert max(sizes()) == 1000 and sum(sizes()) == 2500
+    with small_batches(spark), small_batches(spark):
+        assert max(sizes()) == 1000
+    monkeypatch.setattr(images, "materialise", lambda df, name: seen.append(int(spark.conf.get(key))) or write(df, name))
+    df = spark.createDataFrame([(i, images.encode_pgm(soft_picture(i % 2))) for i in range(3)], "image_id long, image binary")
+    assert {r.image_id: r.class_id for r in images.image_copies(df, tables=1).collect()} == {0: 0, 1: 1, 2: 0}
+    assert len(seen) > 5 and max(seen) <= 1000 and spark.conf.get(key) == before
+
+
+def test_large_buckets_of_several_tables_are_counted_whole(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 256, (5, 32)).astype(np.uint8)
+    rows = [(i, images.pack_points(np.zeros(6), np.zeros(6), np.ones(6), np.zeros(6), base[rng.integers(0, 5, 6)])) for i in range(200)]
+    points = spark.createDataFrame([*rows, (900, b"")], "id long, points binary").repartition(3)
+    want = {(t, b): -(-n // 150) for t in (0, 1, 2) for b, n in Counter(r.bucket for r in images._hashed(points, t, 5).collect()).items() if n > 150}
+    assert want and {(r.table, r.bucket): r.parts for r in images._large(points, range(3), 5, 150, 3).collect()} == want
+
+
 def test_every_pair_of_corners_counts_where_images_are_not_kin(spark):
     from collections import Counter, defaultdict
 
